@@ -36,7 +36,7 @@ _RUSSIAN = frozenset("абвгдеёжзийклмнопрстуфхцчшщъы
 #: Marks that properly stand right before a word or number, and right after one.
 _BEFORE = frozenset("“„‘«‹¿¡§€£¥–—…±×©°¬​﻿・（「『【※№’'")
 _AFTER = frozenset("”“’‘»›…–—°€™®©ªº²³¹‰%·×​‍﻿・）」』】′″")
-_JAPANESE = re.compile(r"[　-ヿ！-～一-鿿]")
+_JAPANESE = re.compile(r"[　-ヿ！-ﾟ一-鿿]+")
 _CHUNK = re.compile(r"(?:[A-Za-z]|[^\x00-\x7f\s])+")
 _OTHER = re.compile(r"[^\x00-\x7f]")
 _LOST = re.compile(r"[\x80-\x84\x86-\x9f�-]")
@@ -54,7 +54,7 @@ _SEGMENT = re.compile(r"[^\n]*?(?:[.!?:;]\s+|\n|\Z)")
 
 def _chunk_cost(chunk: str) -> float:
     """Implausibility of one unbroken run of letters and other characters beyond ASCII."""
-    cost = 3.0 * len(_LOST.findall(chunk))
+    cost = sum(1.0 if c < "\xa0" else 3.0 for c in _LOST.findall(chunk))
     a, b = 0, len(chunk)
     while a < b and chunk[a] in _BEFORE:
         a += 1
@@ -63,17 +63,14 @@ def _chunk_cost(chunk: str) -> float:
     inner = chunk[a:b]
     if not inner or inner.isascii():
         return cost
+    if a and chunk[a - 1] in "–—" and not inner[0].isascii():
+        cost += 1
     if len(inner) == 1:
         return cost + (1.5 if inner in "âÂÃ" else 0)
-    japanese = sum(map(len, _JAPANESE.findall(inner)))
-    if japanese:
-        for c in inner:
-            o = ord(c)
-            if 0xFF61 <= o <= 0xFF9F:
-                cost += 1
-            elif 0x80 <= o < 0x2000 or 0x2500 <= o < 0x2600:
-                cost += 1
-        return cost + _rare_ideographs(inner)
+    if _JAPANESE.search(inner):
+        # Japanese is written without spaces, so words of other scripts may adjoin it
+        cost += _rare_ideographs(inner) + sum(0xFF61 <= ord(c) <= 0xFF9F for c in inner)
+        return cost + sum(_chunk_cost(part) for part in _JAPANESE.split(_LOST.sub("", inner)) if part and not part.isascii())
     latin = cyrillic = 0
     letters: set[str] = set()
     before = ""
@@ -101,7 +98,7 @@ def _chunk_cost(chunk: str) -> float:
             latin += 1
             cost += 0.0 if before == "" and inner[1:].isascii() and c.isupper() else 1.5
         elif c in "’‘–—…“”„":
-            if before in _LEADS:
+            if before in _LEADS or (c in "–—" and before and not before.isascii()):
                 cost += 2
             run = 0
         elif 0x400 <= o < 0x530:
@@ -224,6 +221,13 @@ def moves(text: str) -> Iterator[tuple[str, str]]:
         yield "unescape", after
 
 
+def _price(operation: str) -> float:
+    """Undoing a wrong decoding of UTF-8 is by far the commonest repair; conversions into two-byte encodings are the rarest."""
+    if operation.endswith("utf_8") or operation == "unescape":
+        return 0.01
+    return 1.2 if any(x in operation for x in ("gbk", "cp932", "big5", "euc")) else 0.3
+
+
 def search(text: str, depth: int = 3, expand: int = 8) -> tuple[str, float, tuple[str, ...]]:
     """The cheapest text reachable, its cost and the operations that lead to it. Ends at the first text of cost 0, or after ``expand`` states."""
     start = cost(text)
@@ -238,12 +242,12 @@ def search(text: str, depth: int = 3, expand: int = 8) -> tuple[str, float, tupl
             if (h := hash(after)) in visited:
                 continue
             visited.add(h)
-            there = cost(after) + 0.01 * (len(path) + 1)
+            there = cost(after) + sum(map(_price, (*path, name)))
             if there < best[0] - 0.5:
                 best = (there, after, (*path, name))
                 if there < 0.1:
-                    break
-            if len(path) + 1 < depth and there < here + 4:
+                    return best[1], best[0], best[2]
+            if len(path) + 1 < depth and there < 2 * here + 6:
                 n += 1
                 heapq.heappush(heap, (there, n, after, (*path, name)))
     return best[1], best[0], best[2]
