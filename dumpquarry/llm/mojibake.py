@@ -236,7 +236,8 @@ def search(text: str, depth: int = 3, expand: int = 8) -> tuple[str, float, tupl
     visited = {hash(text)}
     n = 0
     while heap and expand and best[0] > 0:
-        here, _, at, path = heapq.heappop(heap)
+        _, _, at, path = heapq.heappop(heap)
+        here = cost(at)
         expand -= 1
         for name, after in moves(at):
             if (h := hash(after)) in visited:
@@ -249,7 +250,7 @@ def search(text: str, depth: int = 3, expand: int = 8) -> tuple[str, float, tupl
                     return best[1], best[0], best[2]
             if len(path) + 1 < depth and there < 2 * here + 6:
                 n += 1
-                heapq.heappush(heap, (there, n, after, (*path, name)))
+                heapq.heappush(heap, (0.3 * there if name.endswith("utf_8") else there, n, after, (*path, name)))
     return best[1], best[0], best[2]
 
 
