@@ -32,6 +32,11 @@ class Inferred:
     rule: str
 
 
+def _top(evidence: Mapping) -> list[tuple]:
+    """Value and count of the profile's top entries."""
+    return [(t["item"], t["count"]) if isinstance(t, Mapping) else tuple(t)[:2] for t in evidence.get("top") or []]
+
+
 def infer_column(table: TableDef, column: ColumnDef, evidence: Mapping | None = None, override: Mapping | None = None) -> Inferred:
     """The generator of one column."""
     if override:
@@ -48,7 +53,7 @@ def infer_column(table: TableDef, column: ColumnDef, evidence: Mapping | None =
         if re.search(pattern, column.name, re.I) and (family in ("Text", "Other", "Uuid") or kind.startswith(("commerce.", "address.l", "network.port"))):
             return Inferred(kind, {}, "semantic")
     if evidence and evidence.get("n"):
-        e = dict(evidence)
+        e = dict(evidence) | {"top": _top(evidence)}
         seen = e["n"] - e["n_null"]
         if seen and e["n_distinct"] == 1 and e.get("top"):
             return Inferred("constant", {"value": e["top"][0][0]}, "distribution")
