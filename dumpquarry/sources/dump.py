@@ -10,6 +10,8 @@ from dataclasses import asdict, dataclass
 from functools import cached_property
 
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.csv as pacsv
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,7 +23,6 @@ from dumpquarry.dialect import bare, detect
 from dumpquarry.session import staging_path
 from dumpquarry.sources import files, splits, tokenizer
 
-BATCH_ROWS = 10_000
 STATEMENT_SCHEMA = "path string, start long, idx int, kind string, table_name string, text string"
 
 
@@ -89,26 +90,68 @@ def _clean(v: str | None) -> str | None:
     return v if v is None or v.isascii() else v.encode("utf-8", "surrogateescape").decode("utf-8", "replace")
 
 
-def _batches(rows: Iterator[list[str | None]], names: list[str]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([(n, pa.string()) for n in names])
-    block: list[list[str | None]] = []
-    for row in rows:
-        block.append(row)
-        if len(block) == BATCH_ROWS:
-            yield _batch(block, schema)
-            block = []
-    if block:
-        yield _batch(block, schema)
+def _array(values: list[str | None]) -> pa.Array:
+    try:
+        return pa.array(values, pa.string())
+    except (UnicodeEncodeError, pa.ArrowException):
+        return pa.array([_clean(v) for v in values], pa.string())
 
 
-def _batch(block: list[list[str | None]], schema: pa.Schema) -> pa.RecordBatch:
-    arrays = []
-    for column in zip(*block):
-        try:
-            arrays.append(pa.array(column, pa.string()))
-        except (UnicodeEncodeError, pa.ArrowException):
-            arrays.append(pa.array([_clean(v) for v in column], pa.string()))
-    return pa.RecordBatch.from_arrays(arrays, schema=schema)
+def _copied(data: str, width: int) -> list[pa.Array] | None:
+    """COPY lines by column, parsed by Arrow; None where they must be read line by line."""
+    try:
+        raw = data.encode("utf-8")
+        table = pacsv.read_csv(
+            pa.BufferReader(raw),
+            read_options=pacsv.ReadOptions(column_names=[str(i) for i in range(width)], block_size=max(1 << 20, len(raw) + 1), use_threads=False),
+            parse_options=pacsv.ParseOptions(delimiter="\t", quote_char=False, escape_char=False, newlines_in_values=False),
+            convert_options=pacsv.ConvertOptions(column_types={str(i): pa.string() for i in range(width)}, strings_can_be_null=True, null_values=["\\N"], quoted_strings_can_be_null=False),
+        )
+    except (UnicodeEncodeError, pa.ArrowException):
+        return None
+    out = []
+    for column in table.columns:
+        values = column.combine_chunks()
+        if pc.any(pc.match_substring(values, "\\")).as_py():
+            values = pa.array([v if v is None or "\\" not in v else tokenizer.copy_text(v) for v in values.to_pylist()], pa.string())
+        out.append(values)
+    return out
+
+
+def split_batches(split: splits.Split, dialect: str, table: str, columns: list[str], wanted: list[str]) -> Iterator[pa.RecordBatch]:
+    """One table's rows as Arrow batches of texts. Plain INSERT and COPY blocks are decoded by column, others row by row."""
+    place = {c.lower(): i for i, c in enumerate(columns)}
+    schema = pa.schema([(w, pa.string()) for w in wanted])
+    header: list[str] | None = None
+    for s in split_statements(split, dialect):
+        if s.kind == "copy":
+            header = tokenizer.copy_columns(s.text)
+        if s.kind not in ("insert", "copy_data") or not same_table(s.table, table):
+            continue
+        given, arrays, n = header, None, 0
+        if s.kind == "copy_data":
+            width = len(header) if header else len(columns)
+            arrays = _copied(s.text, width) if width > 1 else None
+            rows = None if arrays is not None else list(tokenizer.copy_rows(s.text, width))
+        elif found := tokenizer.insert_columns(s.text, dialect):
+            given, values = found
+            arrays, rows = values, None
+        else:
+            given, lazy = tokenizer.insert_rows(s.text, dialect)
+            rows = list(lazy)
+        if arrays is None:
+            most = max(map(len, rows), default=0)
+            arrays = [list(c) for c in zip(*[r if len(r) == most else r + [None] * (most - len(r)) for r in rows])]
+        n = len(arrays[0]) if arrays else 0
+        if not n:
+            continue
+        names = [g.lower() for g in given] if given is not None else list(place)
+        at = {name: i for i, name in enumerate(names) if i < len(arrays)}
+        out = []
+        for w in wanted:
+            i = at.get(w.lower())
+            out.append(pa.nulls(n, pa.string()) if i is None else arrays[i] if isinstance(arrays[i], pa.Array) else _array(arrays[i]))
+        yield pa.RecordBatch.from_arrays(out, schema=schema)
 
 
 @dataclass
@@ -124,9 +167,7 @@ class _Reader(DataSourceReader):
         return [_Part(s) for s in self.parts]
 
     def read(self, partition):
-        at = [self.columns.index(w) for w in self.wanted]
-        rows = split_rows(partition.split, self.dialect, self.table, self.columns)
-        yield from _batches((rows if self.wanted == self.columns else ([r[i] for i in at] for r in rows)), self.wanted)
+        yield from split_batches(partition.split, self.dialect, self.table, self.columns, self.wanted)
 
 
 class SqlDumpSource(DataSource):

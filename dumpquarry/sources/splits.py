@@ -146,19 +146,29 @@ def plan(spark: SparkSession, paths: list[str], dialect: str, split_bytes: int =
     if not blocks:
         return out
 
-    def examine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for p, s, size in zip(batch["path"], batch["start"], batch["size"]):
-                data = _block(p, int(s), int(size))
-                rows += [(p, int(s), st, *scan(data, st, dialect)) for st in STATES]
-            yield pd.DataFrame(rows, columns=["path", "start", "state", "ends", "first", "header"])
-
-    df = spark.createDataFrame(blocks, "path string, start long, size long").repartition(min(len(blocks), 10_000))
-    found = {(r.path, r.start, r.state): (r.ends, r.first, r.header) for r in df.mapInPandas(examine, "path string, start long, state string, ends string, first long, header string").toLocalIterator()}
+    def pass_over(states: tuple[str, ...]) -> dict:
+        def examine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                rows = []
+                for p, s, size in zip(batch["path"], batch["start"], batch["size"]):
+                    data = _block(p, int(s), int(size))
+                    rows += [(p, int(s), st, *scan(data, st, dialect)) for st in states]
+                yield pd.DataFrame(rows, columns=["path", "start", "state", "ends", "first", "header"])
+
+        df = spark.createDataFrame(blocks, "path string, start long, size long").repartition(min(len(blocks), 10_000))
+        rows = df.mapInPandas(examine, "path string, start long, state string, ends string, first long, header string").toLocalIterator()
+        return {(r.path, r.start, r.state): (r.ends, r.first, r.header) for r in rows}
+
+    # lines seldom begin within a string or comment, so those states are only scanned from if a block needs one
+    usual = ("n", "c") if dialect == "postgres" else ("n",)
+    found = pass_over(usual)
+    whole = False
     for p in dict.fromkeys(b[0] for b in blocks):
         size, state, header, starts = os.path.getsize(files.local(p)), "n", "", []
         for s in range(0, size, split_bytes):
+            if (p, s, state) not in found and state in STATES and not whole:
+                found |= pass_over(tuple(x for x in STATES if x not in usual))
+                whole = True
             known = found.get((p, s, state)) or scan(_block(p, s, split_bytes), state, dialect)
             if s == 0:
                 starts.append((0, ""))

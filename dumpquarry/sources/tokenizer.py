@@ -311,6 +311,42 @@ def _tuples(text: str, at: int, dialect: str) -> Iterator[list[str | None]]:
         yield row
 
 
+def _flat_pattern(dialect: str) -> re.Pattern:
+    string = r"(?:[^'\\]++|\\.|'')*+" if dialect == "mysql" else r"(?:[^']++|'')*+"
+    return re.compile(rf"\s*+(?:[Nn]?+'({string})'|([-+.0-9A-Za-z_]++))\s*+(,|\)(?:\s*+,\s*+\(|\s*+;?\s*+\Z))|(.)", re.S)
+
+
+_FLAT = {d: _flat_pattern(d) for d in ("mysql", "postgres", "sqlite", "mssql")}
+_PLAIN_START = frozenset("-+.0123456789")
+
+
+def insert_columns(statement: str, dialect: str) -> tuple[list[str] | None, list[list[str | None]]] | None:
+    """Column list and values by column of an INSERT whose rows are equally wide and hold plain literals; None if it must be read value by value."""
+    head = _INTO.match(statement, _LEADING.match(statement).end())
+    if not head or statement[head.end() : head.end() + 1] != "(":
+        return None
+    names = [unquote(c) for c in re.findall(IDENT, head[2])] if head[2] else None
+    found = _FLAT[dialect].findall(statement, head.end() + 1)
+    texts, raws, ends, other = zip(*found) if found else ((), (), (), ())
+    if any(other):
+        return None
+    width = next((i for i, e in enumerate(ends) if e[0] == ")"), -1) + 1
+    if not width or len(ends) % width or sum(e[0] == ")" for e in ends) * width != len(ends) or any(e[0] != ")" for e in ends[width - 1 :: width]):
+        return None
+    if dialect == "mysql" and "\\" in statement:
+        texts = [_unescape(t) if "\\" in t or "''" in t else t for t in texts]
+    elif "''" in statement:
+        texts = [t.replace("''", "'") if "''" in t else t for t in texts]
+    words = {r for r in set(raws) if r and (r[0] not in _PLAIN_START or r[1:2] in ("x", "X"))}
+    if words - {"NULL"}:
+        say = {"TRUE": "1", "FALSE": "0", "NULL": None}
+        as_value = {r: say[r.upper()] if r.upper() in say else "\\x" + r[2:] if r[:2] in ("0x", "0X") else r for r in words}
+        values = [t if not r else as_value[r] if r in as_value else r for t, r in zip(texts, raws)]
+    else:
+        values = [t if not r else None if r == "NULL" else r for t, r in zip(texts, raws)]
+    return names, [values[i::width] for i in range(width)]
+
+
 _COPY_ESCAPE = re.compile(r"\\(x[0-9A-Fa-f]{1,2}|[0-7]{1,3}|.)", re.S)
 _COPY_CHARS = {"b": "\b", "f": "\f", "n": "\n", "r": "\r", "t": "\t", "v": "\v"}
 
@@ -324,6 +360,11 @@ def _copy_char(m: re.Match) -> str:
     return _COPY_CHARS.get(s, s)
 
 
+def copy_text(field: str) -> str:
+    """A field of a COPY line without its escapes."""
+    return _COPY_ESCAPE.sub(_copy_char, field)
+
+
 def copy_columns(statement: str) -> list[str] | None:
     m = re.match(rf"\s*COPY\s+{NAME}\s*\(([^)]*)\)", statement, re.I)
     return [unquote(c) for c in re.findall(IDENT, m[1])] if m else None
