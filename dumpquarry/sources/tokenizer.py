@@ -113,6 +113,15 @@ class Splitter:
                     break
                 fresh = False
             pattern = _NEXT if self.delimiter == ";" else re.compile(rf"['\"`]|--|#|/\*|\n|{re.escape(self.delimiter)}")
+            if self.delimiter == ";" and self.dialect != "mssql" and (m := _ROWS_FOLLOW.match(self.text, at)) and not self.text[self.pos : at].strip():
+                before = self.pos
+                end = self._plain_insert(m.end())
+                if end is not None:
+                    statement = self.text[self.pos : end]
+                    self.pos = at = end + 1
+                    yield statement
+                    continue
+                at -= before - self.pos if self.pos != before else 0
             if self.delimiter == ";" and (skipped := _SKIP.match(self.text, at).end()) < len(self.text) - 2:
                 at = skipped
             m, _ = self._find(pattern, at)
@@ -157,6 +166,37 @@ class Splitter:
             else:
                 at = i
 
+    def _plain_insert(self, start: int) -> int | None:
+        """The end of an INSERT whose values begin at ``start``, by counting quotes between semicolons; None where it holds more than plain literals.
+
+        The place of the statement's begin, :attr:`pos`, is 0 once more text was read.
+        """
+        open_quote = 0
+        while True:
+            i = self.text.find(";", start)
+            if i < 0:
+                if len(self.text) - self.pos > self.limits.statement_chars:
+                    raise ValueError(f"a statement exceeds {self.limits.statement_chars} characters")
+                shift = self.pos
+                if not self._more():
+                    return None
+                start -= shift
+                continue
+            part = self.text[start:i]
+            if "\\" in part:
+                if self.dialect == "mysql":
+                    part = part.replace("\\\\", "").replace("\\'", "")
+                elif self.dialect == "postgres" and ("E'" in part or "e'" in part):
+                    return None
+            pieces = part.split("'")
+            plain = "".join(pieces[open_quote::2])
+            if "--" in plain or "/*" in plain or any(c in plain for c in "#$\"`["):
+                return None
+            open_quote ^= (len(pieces) - 1) & 1
+            if not open_quote:
+                return i
+            start = i + 1
+
     moved_by = 0
 
     def _ensure(self, at: int, n: int) -> None:
@@ -218,6 +258,7 @@ def statements(stream: TextIO, dialect: str, limits: Limits | None = None) -> It
 # --- rows
 
 _INTO = re.compile(rf"(?:INSERT|REPLACE)\s+(?:LOW_PRIORITY\s+|DELAYED\s+|HIGH_PRIORITY\s+|IGNORE\s+)*(?:OR\s+\w+\s+)?(?:INTO\s+)?({NAME})\s*(\((?:\s*{IDENT}\s*,?)+\))?\s*(?:OVERRIDING\s+\w+\s+VALUE\s*)?VALUES\s*", re.I)
+_ROWS_FOLLOW = re.compile(rf"\s*{_INTO.pattern}", re.I)
 _STRING = {"mysql": r"'((?:[^'\\]|\\.|'')*)'"}
 _PLAIN_STRING = r"'((?:[^']|'')*)'"
 _UNESCAPE = {"n": "\n", "r": "\r", "t": "\t", "0": "\0", "b": "\b", "Z": "\x1a"}
@@ -236,6 +277,13 @@ _VALUE = {d: _value_pattern(d) for d in ("mysql", "postgres", "sqlite", "mssql")
 _ESCAPE = re.compile(r"\\(.)|''", re.S)
 
 
+_BACKSLASHED = re.compile(r"\\(.)", re.S)
+
+
+def _unescaped(m: re.Match) -> str:
+    return _UNESCAPE.get(m[1], m[1])
+
+
 def _unescape(text: str) -> str:
     return _ESCAPE.sub(lambda m: "'" if m[1] is None else _UNESCAPE.get(m[1], m[1]), text) if "\\" in text or "''" in text else text
 
@@ -311,40 +359,70 @@ def _tuples(text: str, at: int, dialect: str) -> Iterator[list[str | None]]:
         yield row
 
 
-def _flat_pattern(dialect: str) -> re.Pattern:
-    string = r"(?:[^'\\]++|\\.|'')*+" if dialect == "mysql" else r"(?:[^']++|'')*+"
-    return re.compile(rf"\s*+(?:[Nn]?+'({string})'|([-+.0-9A-Za-z_]++))\s*+(,|\)(?:\s*+,\s*+\(|\s*+;?\s*+\Z))|(.)", re.S)
-
-
-_FLAT = {d: _flat_pattern(d) for d in ("mysql", "postgres", "sqlite", "mssql")}
+#: Stand-ins for escaped backslashes and quotes while a statement is cut at its quotes.
+_BACKSLASH, _QUOTE = "\ue000", "\ue001"
 _PLAIN_START = frozenset("-+.0123456789")
 
 
 def insert_columns(statement: str, dialect: str) -> tuple[list[str] | None, list[list[str | None]]] | None:
-    """Column list and values by column of an INSERT whose rows are equally wide and hold plain literals; None if it must be read value by value."""
+    """Column list and values by column of an INSERT whose rows are equally wide and hold plain literals; None if it must be read value by value.
+
+    The text is cut at its quotes, so that every second piece is a literal's content; what is left outside is cut at
+    commas, and the contents are put back in their places: a few passes in C instead of a step per value.
+    """
     head = _INTO.match(statement, _LEADING.match(statement).end())
-    if not head or statement[head.end() : head.end() + 1] != "(":
+    if not head:
+        return None
+    text = statement[head.end() :].rstrip().rstrip(";")
+    if "\0" in text:
+        return None
+    escaped = "\\" in text
+    if escaped and dialect == "mysql":
+        if _BACKSLASH in text or _QUOTE in text:
+            return None
+        text = text.replace("\\\\", _BACKSLASH).replace("\\'", _QUOTE)
+    elif escaped and dialect == "postgres" and re.search(r"\bE'", text, re.I):
+        return None
+    parts = text.split("'")
+    outside, inside = parts[::2], parts[1::2]
+    if len(parts) % 2 == 0:
+        return None
+    if "" in outside[1:-1]:  # two literals touch: a doubled quote within one
+        merged, kept = [inside[0]], [outside[0]]
+        for o, i in zip(outside[1:-1], inside[1:]):
+            if o:
+                kept.append(o)
+                merged.append(i)
+            else:
+                merged[-1] += "'" + i
+        outside, inside = [*kept, outside[-1]], merged
+    body = "".join("\0".join(outside).split()).replace("N\0", "\0").replace("_binary\0", "\0")
+    if not body.startswith("(") or not body.endswith(")"):
         return None
-    names = [unquote(c) for c in re.findall(IDENT, head[2])] if head[2] else None
-    found = _FLAT[dialect].findall(statement, head.end() + 1)
-    texts, raws, ends, other = zip(*found) if found else ((), (), (), ())
-    if any(other):
+    rows = body[1:-1].split("),(")
+    width = rows[0].count(",") + 1
+    flat = ",".join(rows)
+    if any(c in flat for c in "()\"`[:") or "--" in flat or "/*" in flat or any(r.count(",") != width - 1 for r in rows):
         return None
-    width = next((i for i, e in enumerate(ends) if e[0] == ")"), -1) + 1
-    if not width or len(ends) % width or sum(e[0] == ")" for e in ends) * width != len(ends) or any(e[0] != ")" for e in ends[width - 1 :: width]):
+    values: list[str | None] = flat.split(",")
+    words = {v for v in set(values) if v[:1] not in _PLAIN_START or v[1:2] in ("x", "X")} - {"\0"}
+    if any("\0" in v for v in words) or "" in words:
         return None
-    if dialect == "mysql" and "\\" in statement:
-        texts = [_unescape(t) if "\\" in t or "''" in t else t for t in texts]
-    elif "''" in statement:
-        texts = [t.replace("''", "'") if "''" in t else t for t in texts]
-    words = {r for r in set(raws) if r and (r[0] not in _PLAIN_START or r[1:2] in ("x", "X"))}
-    if words - {"NULL"}:
-        say = {"TRUE": "1", "FALSE": "0", "NULL": None}
-        as_value = {r: say[r.upper()] if r.upper() in say else "\\x" + r[2:] if r[:2] in ("0x", "0X") else r for r in words}
-        values = [t if not r else as_value[r] if r in as_value else r for t, r in zip(texts, raws)]
-    else:
-        values = [t if not r else None if r == "NULL" else r for t, r in zip(texts, raws)]
-    return names, [values[i::width] for i in range(width)]
+    if words:
+        say: dict[str, str | None] = {}
+        for v in words:
+            up = v.upper()
+            say[v] = None if up == "NULL" else "1" if up == "TRUE" else "0" if up == "FALSE" else "\\x" + v[2:] if up.startswith("0X") else v
+        values = [say[v] if v in say else v for v in values]
+    if inside:
+        if escaped and dialect == "mysql":
+            inside = [_BACKSLASHED.sub(_unescaped, t.replace(_BACKSLASH, "\\\\").replace(_QUOTE, "\\'")) if "\\" in t or _BACKSLASH in t or _QUOTE in t else t for t in inside]
+        at = [i for i, v in enumerate(values) if v == "\0"]
+        if len(at) != len(inside):
+            return None
+        for i, t in zip(at, inside):
+            values[i] = t
+    return [unquote(c) for c in re.findall(IDENT, head[2])] if head[2] else None, [values[i::width] for i in range(width)]
 
 
 _COPY_ESCAPE = re.compile(r"\\(x[0-9A-Fa-f]{1,2}|[0-7]{1,3}|.)", re.S)

@@ -198,3 +198,19 @@ def test_writing(spark, tmp_path):
     folder = sqlwriter.write_tables({"t": df}, str(tmp_path / "parts"), "mysql")
     for kind in ("tar.gz", "zip", "tar.zst"):
         assert sqlwriter.pack(folder, str(tmp_path / f"o.{kind}")).endswith(kind)
+
+
+@pytest.mark.parametrize("dialect", ["mysql", "postgres", "sqlite", "mssql"])
+def test_columns_equal_rows(dialect):
+    r = random.Random(9)
+    agreed = 0
+    for _ in range(400):
+        rows = [[r.choice([None, r.randrange(-99, 99), r.random(), "".join(r.choices("a',\;()\n- N", k=r.randrange(6)))]) for _ in range(3)] for _ in range(r.randrange(1, 5))]
+        text = "INSERT INTO t (a, b, c) VALUES " + ",\n".join("(" + ", ".join(literal(v, dialect) for v in row) + ")" for row in rows) + r.choice(["", ";", " ;\n"])
+        names, lazy = tokenizer.insert_rows(text, dialect)
+        wanted = list(lazy)
+        assert wanted == [[None if v is None else str(v) for v in row] for row in rows]
+        if found := tokenizer.insert_columns(text, dialect):
+            agreed += 1
+            assert found[0] == names and [list(x) for x in zip(*found[1])] == wanted
+    assert agreed > 300
