@@ -10,12 +10,13 @@ import zipfile
 from collections.abc import Iterator, Mapping
 from pathlib import Path
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dumpquarry.catalog import Catalog, TableDef
-from dumpquarry.dialect import copy_text, literal, quote
+from dumpquarry.dialect import quote
 
 CHUNK_ROWS = 1000
 
@@ -52,39 +53,63 @@ def footer(dialect: str) -> str:
     return {"mysql": "SET FOREIGN_KEY_CHECKS = 1;\n", "postgres": "", "sqlite": "PRAGMA foreign_keys = ON;\n", "mssql": "GO\n"}[dialect]
 
 
-def _plain(v: object) -> object:
-    """A pandas cell as a plain value."""
-    if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
-        return None
-    if isinstance(v, pd.Timestamp):
-        return v.to_pydatetime()
-    return v.item() if hasattr(v, "item") and not isinstance(v, (bytes, bytearray)) else v
+def literal_text(value: Column, kind: T.DataType, dialect: str, copy: bool = False) -> Column:
+    """A column as SQL literals, or as fields of COPY lines; never null."""
+    if isinstance(kind, T.BooleanType):
+        yes, no = ("t", "f") if copy else ("TRUE", "FALSE") if dialect == "postgres" else ("1", "0")
+        text = F.when(value, yes).otherwise(no)
+    elif isinstance(kind, T.NumericType):
+        text = value.cast("string")
+        if isinstance(kind, (T.DoubleType, T.FloatType)):  # NaN and infinities are no numbers in SQL
+            odd = F.isnan(value) | value.isin(float("inf"), float("-inf"))
+            text = F.when(odd, text if copy else F.concat(F.lit("'"), text, F.lit("'")) if dialect == "postgres" else F.lit("NULL")).otherwise(text)
+    elif isinstance(kind, T.BinaryType):
+        digits = F.lower(F.hex(value))
+        if copy:
+            text = F.concat(F.lit("\\\\x"), digits)
+        elif dialect == "postgres":
+            text = F.concat(F.lit("'\\x"), digits, F.lit("'"))
+        elif dialect == "sqlite":
+            text = F.concat(F.lit("X'"), digits, F.lit("'"))
+        else:
+            text = F.when(digits == "", F.lit("''")).otherwise(F.concat(F.lit("0x"), digits))
+    else:
+        raw = value.cast("string") if not isinstance(kind, (T.ArrayType, T.MapType, T.StructType)) else F.to_json(value)
+        if copy:
+            for c, e in (("\\", "\\\\"), ("\t", "\\t"), ("\n", "\\n"), ("\r", "\\r")):
+                raw = F.replace(raw, F.lit(c), F.lit(e))
+            text = raw
+        else:
+            escapes = (("\\", "\\\\"), ("'", "''"), ("\n", "\\n"), ("\r", "\\r"), ("\0", "\\0"), ("\x1a", "\\Z")) if dialect == "mysql" else (("'", "''"),)
+            for c, e in escapes:
+                raw = F.replace(raw, F.lit(c), F.lit(e))
+            quoted = F.concat(F.lit("'"), raw, F.lit("'"))
+            text = F.when(raw.rlike(r"[^\x00-\x7F]"), F.concat(F.lit("N"), quoted)).otherwise(quoted) if dialect == "mssql" else quoted
+    return F.when(value.isNull(), "\\N" if copy else "NULL").otherwise(text)
 
 
 def insert_statements(df: DataFrame, name: str, dialect: str, chunk: int = CHUNK_ROWS, copy: bool = False) -> DataFrame:
-    """One column, ``value``: INSERT statements of up to ``chunk`` rows (or COPY blocks), made per partition without a shuffle."""
+    """One column, ``value``: INSERT statements of up to ``chunk`` rows (or COPY blocks), made per partition without a shuffle.
+
+    Rows are rendered by Spark's own expressions; Python only joins the texts of a chunk.
+    """
     columns = ", ".join(quote(c, dialect) for c in df.columns)
     target = quote(name, dialect)
+    fields = [literal_text(F.col(f"`{f.name}`"), f.dataType, dialect, copy) for f in df.schema]
+    line = F.concat_ws("\t", *fields) if copy else F.concat(F.lit("("), F.concat_ws(", ", *fields), F.lit(")"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [[_plain(v) for v in r] for r in batch.itertuples(index=False, name=None)]
+            rows = batch.column(0).to_pylist()
             out = []
             for i in range(0, len(rows), chunk):
-                part = rows[i : i + chunk]
                 if copy:
-                    out.append(f"COPY {target} ({columns}) FROM stdin;\n" + "\n".join("\t".join(map(copy_text, r)) for r in part) + "\n\\.\n")
+                    out.append(f"COPY {target} ({columns}) FROM stdin;\n" + "\n".join(rows[i : i + chunk]) + "\n\\.\n")
                 else:
-                    values = ",\n".join("(" + ", ".join(literal(v, dialect) for v in r) + ")" for r in part)
-                    out.append(f"INSERT INTO {target} ({columns}) VALUES\n{values};")
-            yield pd.DataFrame({"value": out})
-
-    # whole numbers with nulls would come through pandas as floats, so they travel as text where it makes no difference
-    fields = []
-    for f in df.schema:
-        c = df[f"`{f.name}`"]
-        fields.append((c.cast("decimal(20,0)") if isinstance(f.dataType, T.IntegralType) else c).alias(f.name))
-    return df.select(*fields).mapInPandas(run, "value string")
+                    out.append(f"INSERT INTO {target} ({columns}) VALUES\n" + ",\n".join(rows[i : i + chunk]) + ";")
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
+
+    return df.select(line.alias("value")).mapInArrow(run, "value string")
 
 
 def write_dump(tables: Mapping[str, DataFrame], path: str, dialect: str, catalog: Catalog | None = None, chunk: int = CHUNK_ROWS, copy: bool = False, ddl: bool = True, transaction: bool = True, identity: bool = False) -> str:

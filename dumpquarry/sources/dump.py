@@ -233,8 +233,8 @@ class Dump:
         self.splits = splits.plan(spark, paths, self.dialect, split_bytes)
         spark.dataSource.register(SqlDumpSource)
 
-    def statements(self, text: bool = True) -> DataFrame:
-        """Every statement: path, start (of its split), idx, kind, table_name, text (or its length in bytes with ``text=False``)."""
+    def statements(self, text: bool = True, kinds: tuple[str, ...] = ()) -> DataFrame:
+        """Every statement (of the ``kinds``, all if none are named): path, start (of its split), idx, kind, table_name, text (or its length in bytes with ``text=False``)."""
         dialect, parts = self.dialect, self.splits
         schema = STATEMENT_SCHEMA if text else STATEMENT_SCHEMA.replace("text string", "n_rows long, n_bytes long")
 
@@ -243,6 +243,8 @@ class Dump:
                 for r in batch.to_pylist():
                     block: list[dict] = []
                     for s in split_statements(splits.Split(**r), dialect):
+                        if kinds and s.kind not in kinds:
+                            continue
                         entry = {"path": r["path"], "start": r["start"], "idx": s.index, "kind": s.kind, "table_name": s.table}
                         if text:
                             entry["text"] = _clean(s.text)
@@ -256,8 +258,8 @@ class Dump:
                     if block:
                         yield pa.RecordBatch.from_pylist(block, schema=arrow)
 
-        kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32()}
-        arrow = pa.schema([(f.split()[0], kinds[f.split()[1]]) for f in schema.split(", ")])
+        arrow_types = {"string": pa.string(), "long": pa.int64(), "int": pa.int32()}
+        arrow = pa.schema([(f.split()[0], arrow_types[f.split()[1]]) for f in schema.split(", ")])
         rows = [asdict(s) for s in parts]
         df = self.spark.createDataFrame([(r["path"], r["start"], r["end"], r["header"]) for r in rows], "path string, start long, end long, header string")
         return df.repartition(min(len(rows), 10_000)).mapInArrow(run, schema)
@@ -265,7 +267,7 @@ class Dump:
     @cached_property
     def catalog(self) -> Catalog:
         """From the DDL in all files; only DDL statements come to the driver."""
-        rows = self.statements().where("kind in ('create_table', 'alter_table', 'create_index')").select("path", "start", "idx", "text").collect()
+        rows = self.statements(kinds=("create_table", "alter_table", "create_index")).select("path", "start", "idx", "text").collect()
         order = {p: i for i, p in enumerate(self.paths)}
         return ddl.build_catalog(r.text for r in sorted(rows, key=lambda r: (order[r.path], r.start, r.idx)))
 

@@ -205,7 +205,7 @@ def test_columns_equal_rows(dialect):
     r = random.Random(9)
     agreed = 0
     for _ in range(400):
-        rows = [[r.choice([None, r.randrange(-99, 99), r.random(), "".join(r.choices("a',\;()\n- N", k=r.randrange(6)))]) for _ in range(3)] for _ in range(r.randrange(1, 5))]
+        rows = [[r.choice([None, r.randrange(-99, 99), r.random(), "".join(r.choices("a',;()\n- N" + chr(92), k=r.randrange(6)))]) for _ in range(3)] for _ in range(r.randrange(1, 5))]
         text = "INSERT INTO t (a, b, c) VALUES " + ",\n".join("(" + ", ".join(literal(v, dialect) for v in row) + ")" for row in rows) + r.choice(["", ";", " ;\n"])
         names, lazy = tokenizer.insert_rows(text, dialect)
         wanted = list(lazy)
