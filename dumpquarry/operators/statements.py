@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from dumpquarry.catalog import Catalog
 from dumpquarry.dialect import bare
-from dumpquarry.sinks.sqlwriter import footer, header
+from dumpquarry.sinks.sqlwriter import footer, header, join_parts
 from dumpquarry.sources.dump import Dump
 
 SCHEMA_KINDS = ("create_table", "create_index", "alter_table", "drop_table")
@@ -69,15 +69,15 @@ def merge(dumps: Iterable[Dump], path: str, dialect: str, transaction: bool = Tr
 
     final = Path(path)
     unfinished = final.with_name(f".{final.name}.part")
-    terminator = "\nGO\n" if dialect == "mssql" else ";\n"
+    terminator = "\nGO" if dialect == "mssql" else ";"
     with unfinished.open("w", encoding="utf-8", newline="") as out:
         out.write(header(dialect))
         if transaction:
             out.write({"mysql": "START TRANSACTION;\n", "mssql": "BEGIN TRANSACTION;\nGO\n", "sqlite": "BEGIN TRANSACTION;\n"}.get(dialect, "BEGIN;\n"))
         for d in dumps:
             chosen = tables_like(content(d.statements()), include, exclude) if include or exclude else d.statements()
-            for r in chosen.where("table_name is not null").select("kind", "text").toLocalIterator(prefetchPartitions=True):
-                out.write(r.text + ("\\.\n" if r.kind == "copy_data" else terminator))
+            texts = F.when(F.col("kind") == "copy_data", F.concat("text", F.lit("\\.\n"))).otherwise(F.concat("text", F.lit(terminator)))
+            join_parts(chosen.where("table_name is not null").select(texts.alias("value")), out, "\n")
         if transaction:
             out.write("COMMIT;\n" + ("GO\n" if dialect == "mssql" else ""))
         out.write(footer(dialect))

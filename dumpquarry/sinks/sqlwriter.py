@@ -9,14 +9,17 @@ import tempfile
 import zipfile
 from collections.abc import Iterator, Mapping
 from pathlib import Path
+from typing import TextIO
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dumpquarry.catalog import Catalog, TableDef
 from dumpquarry.dialect import quote
+from dumpquarry.session import staging_path
+from dumpquarry.sources.files import local
 
 CHUNK_ROWS = 1000
 
@@ -117,7 +120,6 @@ def write_dump(tables: Mapping[str, DataFrame], path: str, dialect: str, catalog
 
     Rows are rendered on the executors into text parts in the shared folder, which are then joined in order.
     """
-    spark = next(iter(tables.values())).sparkSession if tables else None
     final = Path(path)
     final.parent.mkdir(parents=True, exist_ok=True)
     unfinished = final.with_name(f".{final.name}.part")
@@ -131,8 +133,7 @@ def write_dump(tables: Mapping[str, DataFrame], path: str, dialect: str, catalog
                     out.write(create_table(name, df.schema, dialect, catalog.get(name) if catalog else None) + "\n" + ("GO\n" if dialect == "mssql" else ""))
                 if identity and dialect == "mssql":
                     out.write(f"SET IDENTITY_INSERT {quote(name, dialect)} ON;\nGO\n")
-                for text in rendered(spark, insert_statements(df, name, dialect, chunk, copy)):
-                    out.write(text + ("\nGO\n" if dialect == "mssql" else "\n"))
+                join_parts(insert_statements(df, name, dialect, chunk, copy), out, "\nGO\n" if dialect == "mssql" else "\n")
                 if identity and dialect == "mssql":
                     out.write(f"SET IDENTITY_INSERT {quote(name, dialect)} OFF;\nGO\n")
             if transaction:
@@ -144,10 +145,23 @@ def write_dump(tables: Mapping[str, DataFrame], path: str, dialect: str, catalog
     return str(final)
 
 
-def rendered(spark: SparkSession | None, texts: DataFrame) -> Iterator[str]:
-    """Text rows in the order of their partitions, one partition in memory at a time."""
-    for r in texts.toLocalIterator(prefetchPartitions=True):
-        yield r.value
+def join_parts(texts: DataFrame, out: TextIO, ending: str = "\n") -> None:
+    """Text rows in the order of their partitions, appended to a file: written side by side into the shared folder, then joined.
+
+    Where the shared folder is no folder of files, the rows come through the driver, a partition at a time.
+    """
+    spark = texts.sparkSession
+    path = staging_path(spark, "parts")
+    if not path.startswith("file:"):
+        for r in texts.toLocalIterator(prefetchPartitions=True):
+            out.write(r[0] + ending)
+        return
+    texts.write.option("lineSep", ending).text(path)
+    folder = Path(local(path))
+    for part in sorted(folder.glob("part-*")):
+        with part.open(encoding="utf-8", newline="") as f:
+            shutil.copyfileobj(f, out, 1 << 20)
+    shutil.rmtree(folder, ignore_errors=True)
 
 
 def write_tables(tables: Mapping[str, DataFrame], folder: str, dialect: str, compression: str = "none", chunk: int = CHUNK_ROWS, copy: bool = False) -> str:

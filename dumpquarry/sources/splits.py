@@ -156,7 +156,7 @@ def plan(spark: SparkSession, paths: list[str], dialect: str, split_bytes: int =
                 yield pd.DataFrame(rows, columns=["path", "start", "state", "ends", "first", "header"])
 
         df = spark.createDataFrame(blocks, "path string, start long, size long").repartition(min(len(blocks), 10_000))
-        rows = df.mapInPandas(examine, "path string, start long, state string, ends string, first long, header string").toLocalIterator()
+        rows = df.mapInPandas(examine, "path string, start long, state string, ends string, first long, header string").collect()  # some 100 bytes a block
         return {(r.path, r.start, r.state): (r.ends, r.first, r.header) for r in rows}
 
     # lines seldom begin within a string or comment, so those states are only scanned from if a block needs one
