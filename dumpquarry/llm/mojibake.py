@@ -41,8 +41,14 @@ _CHUNK = re.compile(r"(?:[A-Za-z]|[^\x00-\x7f\s])+")
 _OTHER = re.compile(r"[^\x00-\x7f]")
 _LOST = re.compile(r"[\x80-\x84\x86-\x9f�-]")
 _LEADS = frozenset("âÂÃÅÐÑÄãðƒ")
-_ENGLISH = re.compile(r"\b(?:the|of|is|was|with|from|why|don|before|after|see|each|which)\b")
-_FOREIGN_MARK = re.compile(r"[A-Za-z][^\x00-\x7fé’‘ïèêëüöäñçáóíã](?:s|t|ve|re|ll|d|m)\b|\b[A-Za-z]+(?:[íÕÆ´Ò]|ì|î)(?:s|t|ve|re|ll|d|m)\b")
+_ENGLISH = re.compile(r"\b(?:the|of|is|was|with|from|why|don|before|after|see|each|which|note|it|we)\b", re.I)
+#: What a wrongly decoded apostrophe looks like in English contractions and genitives.
+_FOREIGN_MARK = re.compile("[A-Za-z](?:[^\\x00-\\x7f’‘" + "".join(sorted(_KNOWN)) + "]|[íÕÆ´Òìî])(?:s|t|ve|re|ll|d|m)\\b")
+
+_VOWELS = "аеёиоуыэюя"
+_CYRILLIC_WORD = re.compile("[а-яё]+")
+#: Letters where Russian has none: й after a consonant, hard and soft signs and ы in first place, ъ before other letters than е ё ю я.
+_UNRUSSIAN = re.compile(f"(?<=[^{_VOWELS}\\W])й|\\b[ъьы]|ъ(?![еёюя])|(?<=[{_VOWELS}])ь")
 
 _MASKS = [
     re.compile(r"[“\"„«‘`'][^\x00-\x7f\s]{1,4}[”\"“»’`']"),  # cited between quotation marks or as code
@@ -109,8 +115,8 @@ def _chunk_cost(chunk: str) -> float:
             cost += 2 if latin or cyrillic or any(x.isalpha() for x in inner) else 0.0
         elif o in (0xFB01, 0xFB02) or 0x2150 <= o < 0x2190:
             pass
-        elif before == "" and len(inner) > 1 and inner[1:].isascii():
-            cost += 1
+        elif before == "" and inner[1:].isascii():
+            cost += 0.0 if c in "†‡•→" else 1
         else:
             cost += 1.5  # a symbol, or a letter of yet another script, within a word
         before = c
@@ -123,6 +129,19 @@ def _chunk_cost(chunk: str) -> float:
     return cost
 
 
+def _russian_cost(text: str) -> float:
+    """Implausibility of Cyrillic text as Russian: letters in impossible places, and too few vowels."""
+    words = _CYRILLIC_WORD.findall(text)
+    letters = "".join(words)
+    if not letters:
+        return 0.0
+    total = float(sum(len(_UNRUSSIAN.findall(w)) for w in words))
+    share = sum(letters.count(v) for v in _VOWELS) / len(letters)
+    if len(letters) >= 12 and share < 0.3:
+        total += 0.2 * len(letters)
+    return total
+
+
 def _rare_ideographs(text: str) -> float:
     """Ideographs outside the first level of the Japanese standard (rows 16 to 47) are rare in text."""
     cost = 0.0
@@ -145,6 +164,7 @@ def cost(text: str) -> float:
     total = sum(_chunk_cost(m[0]) for m in _CHUNK.finditer(text) if not m[0].isascii())
     if "Â\xa0" in text or "Ã\xa0" in text:
         total += 3 * (text.count("Â\xa0") + text.count("Ã\xa0"))
+    total += _russian_cost(text.lower())
     if _ENGLISH.search(text):
         total += 1.5 * len(_FOREIGN_MARK.findall(text))
     return total
@@ -303,7 +323,7 @@ def examine(text: str | None, restore: bool) -> tuple[bool, str | None, str]:
                 after, left, path = again, 0.0, known
             else:
                 after, left, path = search(part)
-            if path or _LOST.search(_masked(part)) or before >= 2:
+            if path or _LOST.search(_masked(part)) or before >= 1.5:
                 found = True
                 if not restore:
                     return True, None, ""

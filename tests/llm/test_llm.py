@@ -258,3 +258,12 @@ def test_queries_are_registered():
     import __spark_entry__
 
     assert set(queries.QUERIES) <= set(__spark_entry__.queries())
+
+
+@pytest.mark.parametrize("text", ["фбвмйгб чпууфбопчмеоб, оп ч оек ое ичбфбеф уфтпл.", "ч ЧЕТУЙЙ 0.3.4 ЙУРТБЧМЕОБ ПЫЙВЛБ РТЙ ЮФЕОЙЙ ЛМАЮЕК", "The reviewerís note:", "loadsγçª Fixed", "Proszê sprawdziæ, dlaczego ma b³êdn± warto¶æ.", "Ödeme kayýtlarýnýn sürdü."])
+def test_single_byte_mixups_are_found(text):
+    assert mojibake.examine(text, False)[0]
+
+
+def test_mixed_languages_are_no_case():
+    assert not mojibake.examine("values changed between the loads… İki kopya arasında 56 kayıt farkı var, bu oldukça şaşırtıcı.", False)[0]
