@@ -128,10 +128,42 @@ def qualify(sql: str) -> str:
             source = i
             break
     head, body, condition = "".join(ts[begin:source]).rstrip(), "".join(ts[source:at]), "".join(ts[at + 1 : end]).strip()
-    rewritten = f"SELECT * EXCEPT (_qualified) FROM ({head}, ({condition}) AS _qualified {body}) WHERE _qualified "
+    hidden, order, end = _hidden_order(ts, end)
+    extra = "".join(f", {expression} AS {name}" for name, expression in hidden)
+    names = ", ".join(["_qualified", *[n for n, _ in hidden]])
+    rewritten = f"SELECT * EXCEPT ({names}) FROM ({head}{extra}, ({condition}) AS _qualified {body}) WHERE _qualified {order}"
     return qualify("".join(ts[:begin]) + rewritten + "".join(ts[end:]))
 
 
+def _hidden_order(ts: list[str], at: int) -> tuple[list[tuple[str, str]], str, int]:
+    """The ORDER BY that begins at a token, its expressions moved into hidden columns: those, the new clause, and where it ended."""
+    words = [i for i in range(at, len(ts)) if ts[i].strip()]
+    if len(words) < 3 or not _is_word(ts[words[0]], "ORDER") or not _is_word(ts[words[1]], "BY"):
+        return [], "", at
+    items, item, depth, end = [], "", 0, len(ts)
+    for i in range(words[1] + 1, len(ts)):
+        t = ts[i]
+        if depth == 0 and (t in (")", ";") or t.upper() in ("LIMIT", "OFFSET", "UNION", "FETCH")):
+            end = i
+            break
+        depth += (t == "(") - (t == ")")
+        if t == "," and depth == 0:
+            items.append(item)
+            item = ""
+        else:
+            item += t
+    items.append(item)
+    hidden, out = [], []
+    for n, text in enumerate(items):
+        m = re.fullmatch(r"\s*(.*?)((?:\s+(?:ASC|DESC))?(?:\s+NULLS\s+(?:FIRST|LAST))?)\s*", text, re.I | re.S)
+        if m[1].isdigit():
+            out.append(text.strip())
+        else:
+            hidden.append((f"_order{n}", m[1]))
+            out.append(f"_order{n}{m[2]}")
+    return hidden, f"ORDER BY {', '.join(out)} ", end
+
+
 _ASOF = re.compile(r"\bFROM\s+(\w+)(?:\s+(?:AS\s+)?(\w+))?\s+ASOF\s+(LEFT\s+)?JOIN\s+(\w+)(?:\s+(?:AS\s+)?(\w+))?\s+ON\s+(.*?)(?=\bWHERE\b|\bGROUP\b|\bORDER\b|\bLIMIT\b|\bQUALIFY\b|\)|;|\Z)", re.I | re.S)
 
 
