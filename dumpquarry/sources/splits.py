@@ -32,9 +32,11 @@ class Split:
     header: str = ""
 
 
-_SKIP = re.compile(rb"(?:[^'\"`\[;#/$\n\-]+|\n(?![ \t]*[Dd][Ee][Ll])|'[^'\\]*'(?!'))*+")
+_SKIP = re.compile(rb"(?:[^'\"`\[;#/$\n\-]+|\n(?![ \t]*(?:[Dd][Ee][Ll]|[Gg][Oo]))|'[^'\\]*'(?!'))*+")
 _TOKEN = {d: re.compile(rb"['\"`\[;]|--|#|/\*|\$[A-Za-z_0-9]*\$|^[ \t]*DELIMITER[ \t]+(\S+)[^\n]*", re.M | re.I) for d in ("mysql", "postgres", "sqlite", "mssql")}
 
+_TOKEN["mssql"] = re.compile(_TOKEN["mssql"].pattern + rb"|^[ \t]*GO[ \t]*\r?$", re.M | re.I)
+
 
 def scan(block: bytes, state: str, dialect: str) -> tuple[str, int, str]:
     """From a state through a block: the state at its end, where the first statement that begins in it starts (-1: none), the open COPY's header.
@@ -97,6 +99,10 @@ def scan(block: bytes, state: str, dialect: str) -> tuple[str, int, str]:
             began = i
             if first < 0:
                 first = i
+        elif dialect == "mssql" and token.strip().upper() == b"GO":
+            began = i
+            if first < 0:
+                first = i
         elif m.lastindex and mysql:
             delimiter = m[1]
         elif token in (b"'", b'"', b"`"):

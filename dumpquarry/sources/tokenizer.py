@@ -42,6 +42,7 @@ _NEXT = re.compile(r"['\"`\[;]|--|#|/\*|\$[A-Za-z_0-9]*\$|\n")
 #: Ordinary text and simple string literals, passed over in one step.
 _SKIP = re.compile(r"(?:[^'\"`\[;#/$\n\-]+|'[^'\\]*'(?!'))*+")
 _GO = re.compile(r"[ \t]*GO[ \t]*(?:--[^\n]*)?\r?(?:\n|\Z)", re.I)
+_LINE_STATEMENT = re.compile(r"[ \t]*(?:INSERT|SET)\b", re.I)
 _DELIMITER = re.compile(r"[ \t]*DELIMITER[ \t]+(\S+)[ \t]*\r?(?:\n|\Z)", re.I)
 _CLOSING = {True: re.compile(r"'(?!')|''|\\.", re.S), False: re.compile(r"'(?!')|''")}
 
@@ -106,6 +107,9 @@ class Splitter:
                         if at >= len(self.text) and self.ended:
                             return
                         continue
+                    if self.dialect == "mssql" and _LINE_STATEMENT.match(self.text, at) and _LINE_STATEMENT.match(self.text[self.pos : at].lstrip()):
+                        yield self.text[self.pos : at]  # scripts end INSERT and SET with the line alone
+                        self.pos = at
                     if self.dialect == "mysql" and (d := _DELIMITER.match(self.text, at)) and not self.text[self.pos : at].strip():
                         self.delimiter = d[1]
                         self.pos = at = d.end()

@@ -132,7 +132,7 @@ def test_postgres_and_mssql_rows(spark, tmp_path):
     assert [(r.id, r.name, str(r.made)) for r in m.table("users").orderBy("name").collect()] == [(1, "a'b; GO\nGO x", "2024-01-02 03:04:05"), (None, "żółw", "None")]
 
 
-@pytest.mark.parametrize(("dialect", "copy"), [("mysql", False), ("postgres", False), ("postgres", True), ("sqlite", False)])
+@pytest.mark.parametrize(("dialect", "copy"), [("mysql", False), ("postgres", False), ("postgres", True), ("sqlite", False), ("mssql", False)])
 def test_splits_lose_nothing(spark, tmp_path, dialect, copy):
     r = random.Random(4)
     rows = [(i, "".join(r.choices("ab'\"`;\\\n\t-#/*$é[]", k=r.randrange(30))) if i % 7 else None) for i in range(600)]
@@ -214,3 +214,12 @@ def test_columns_equal_rows(dialect):
             agreed += 1
             assert found[0] == names and [list(x) for x in zip(*found[1])] == wanted
     assert agreed > 300
+
+
+def test_line_ended_batches_are_cut(spark, tmp_path):
+    text = "SET ANSI_NULLS ON\nGO\nCREATE TABLE [t] ([id] int NOT NULL, [v] nvarchar(9))\nGO\n" + "".join(f"INSERT [t] ([id], [v]) VALUES ({i}, N'x\nINSERT {i}')\n" + ("GO\n" if i % 5 == 4 else "") for i in range(100))
+    path = write(tmp_path, "g.sql", text)
+    for size in (200, 1000):
+        parts = splits.plan(spark, [path], "mssql", size)
+        assert len(parts) > 2
+        assert sorted(int(a) for p in parts for a, _ in split_rows(p, "mssql", "t", ["id", "v"])) == list(range(100))
