@@ -219,6 +219,15 @@ def _as_utf8(text: str, codec: str) -> str:
     return _OTHER_RUN.sub(run, text)
 
 
+#: First bytes of UTF-8 sequences whose characters were set in lower case after the damage.
+_LOWERED = re.compile(r"[ãâåäðñăĺđγ](?=[^\x00-\x7f])")
+_ROMAN = ("cp1252", "mac_roman", "cp437", "cp850", "cp1250", "cp1254")
+
+
+def _recased(text: str) -> str:
+    return _LOWERED.sub(lambda m: m[0].upper(), text)
+
+
 _OTHER_RUN = re.compile(r"[^\x00-\x7f]+")
 
 
@@ -228,6 +237,8 @@ def moves(text: str) -> Iterator[tuple[str, str]]:
         after = _as_utf8(text, codec)
         if after != text:
             yield f"{codec}>utf_8", after
+        elif codec in _ROMAN and (after := _as_utf8(_recased(text), codec)) != _recased(text):
+            yield f"{codec}>recased>utf_8", after
         data = _bytes(text, codec)
         if data is None:
             continue
@@ -243,6 +254,8 @@ def moves(text: str) -> Iterator[tuple[str, str]]:
 
 def _price(operation: str) -> float:
     """Undoing a wrong decoding of UTF-8 is by far the commonest repair; conversions into two-byte encodings are the rarest."""
+    if ">recased>" in operation:
+        return 0.2
     if operation.endswith("utf_8") or operation == "unescape":
         return 0.01
     return 1.2 if any(x in operation for x in ("gbk", "cp932", "big5", "euc")) else 0.3
@@ -289,7 +302,8 @@ def moves_of(text: str, name: str) -> Iterator[tuple[str, str]]:
     if name == "unescape":
         yield name, html.unescape(text)
         return
-    codec, written = name.split(">")
+    codec, *recased, written = name.split(">")
+    text = _recased(text) if recased else text
     if written == "utf_8":
         yield name, _as_utf8(text, codec)
         return

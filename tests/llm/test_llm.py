@@ -267,3 +267,8 @@ def test_single_byte_mixups_are_found(text):
 
 def test_mixed_languages_are_no_case():
     assert not mojibake.examine("values changed between the loads… İki kopya arasında 56 kayıt farkı var, bu oldukça şaşırtıcı.", False)[0]
+
+
+def test_lower_case_after_the_damage():
+    spoilt = "Häufig genügt es, Schlüssel zu prüfen".encode().decode("cp1252").lower()
+    assert mojibake.examine(spoilt, True)[1] == "häufig genügt es, schlüssel zu prüfen"
