@@ -14,7 +14,7 @@ from collections import deque
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -167,14 +167,25 @@ def rejected_rows(lines: DataFrame, line_id: str = "line_id", raw: str = "raw_li
     are ignored; lines of any length are parsed whole.
     """
     width = len(fields)
-    df = _examined(lines.select(line_id, raw), raw, fields)
+    # no filter in the JVM: it would be pushed below the parse and repeat it. Only broken lines carry their text to Python
+    df = _examined(lines.select(line_id, raw), raw, fields).select(
+        line_id, "_shaped", F.when(~F.col("_shaped"), F.col(raw)).alias("_raw"), F.concat_ws(", ", "_invalid").alias("_names")
+    )
     schema = df.select(line_id).schema.add("reason", "string").add("cost", "integer").add("detail", "string")
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [diagnose(None if x is None or x != x else x, width) for x in batch[raw]]
-            yield pd.DataFrame({line_id: batch[line_id], "reason": [f[0] for f in found], "cost": pd.array([f[1] for f in found], dtype="int32"), "detail": [f[2] for f in found]})
-
-    broken = df.where("not _shaped").select(line_id, raw).mapInPandas(parse, schema)
-    values = df.where("_shaped and size(_invalid) > 0").select(line_id, F.lit("value").alias("reason"), F.lit(0).alias("cost"), F.concat_ws(", ", "_invalid").alias("detail"))
-    return broken.unionByName(values).distinct()
+            rows = []
+            shaped, names, raws = (batch.column(c) for c in ("_shaped", "_names", "_raw"))
+            for i, (ok, name) in enumerate(zip(shaped.to_pylist(), names.to_pylist())):
+                if not ok:
+                    rows.append((i, *diagnose(raws[i].as_py(), width)))
+                elif name:
+                    rows.append((i, "value", 0, name))
+            at, reasons, costs, details = zip(*rows) if rows else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(line_id).take(pa.array(at, pa.int64())), pa.array(reasons, pa.string()), pa.array(costs, pa.int32()), pa.array(details, pa.string())],
+                names=[line_id, "reason", "cost", "detail"],
+            )
+
+    return df.mapInArrow(parse, schema).distinct()
