@@ -13,7 +13,7 @@ import html
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -369,13 +369,13 @@ def garbled(rows: DataFrame, key: str = "doc_id", text: str = "text", restore: b
     if restore:
         schema = schema.add("restored", T.StringType()).add("operations", T.StringType())
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [examine(t, restore) for t in batch["_text"]]
-            hit = [f[0] for f in found]
-            out = batch.loc[hit, [key]]
+            found = [examine(t.as_py(), restore) for t in batch.column("_text")]
+            at = [i for i, f in enumerate(found) if f[0]]
+            arrays = [batch.column(key).take(pa.array(at, pa.int64()))]
             if restore:
-                out = out.assign(restored=[f[1] for f in found if f[0]], operations=[f[2] for f in found if f[0]])
-            yield out
+                arrays += [pa.array([found[i][1] for i in at], pa.string()), pa.array([found[i][2] for i in at], pa.string())]
+            yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in schema])
 
-    return kept.mapInPandas(run, schema).distinct()
+    return kept.mapInArrow(run, schema).distinct()

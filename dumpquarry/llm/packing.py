@@ -89,6 +89,7 @@ def pack(items: DataFrame, key: str = "doc_id", size: str = "tokens", capacity:
     def fill(shard: pd.DataFrame) -> pd.DataFrame:
         shard = shard.sort_values([key, "piece", size], kind="stable", na_position="last").reset_index(drop=True)
         inside = best_two_fit([int(x) for x in shard[size]], capacity)
+        shard[key] = shard[key].astype(object) if shard[key].dtype.kind not in "iuf" else shard[key]
         return shard.drop(columns="_shard").assign(container_id=[(int(shard["_shard"].iloc[0]) << 32) + c for c in inside])
 
     schema = pieces.schema.add("container_id", "long")
