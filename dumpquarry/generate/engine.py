@@ -90,7 +90,7 @@ def generate(spark: SparkSession, model: Mapping, seed: int = 42, scale: float =
         domains[name.lower()] = KeyDomain(counts[name], key.get("start", 1), key.get("step", 1))
     tables = {}
     for name, t in model["tables"].items():
-        parts = max(1, min(10_000, counts[name] // 1_000_000))
+        parts = max(1, min(10_000, counts[name] // 100_000))
         df = spark.range(0, counts[name], 1, parts).withColumnRenamed("id", "_row")
         planned: set[str] = set()
         for p in t.get("planners", []):

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -17,13 +16,6 @@ from dumpquarry.functions import draws
 HLL_PRECISION, TOP_K, HISTOGRAM_BINS, RESERVOIR, PREFIX = 12, 32, 32, 1000, 64
 
 
-@dataclass(frozen=True)
-class Depth:
-    """What a profile holds. ``basic``: counts and ranges; ``standard``: with sketches; ``full``: with relationships."""
-
-    name: str = "standard"
-
-
 def _common_prefix(a: Column, b: Column) -> Column:
     """The common prefix, up to :data:`PREFIX` characters, of two texts: of the smallest and the largest, that of all."""
     a, b = F.substring(a, 1, PREFIX), F.substring(b, 1, PREFIX)
@@ -32,7 +24,7 @@ def _common_prefix(a: Column, b: Column) -> Column:
 
 
 def profile(df: DataFrame, columns: Sequence[str] = (), depth: str = "standard") -> DataFrame:
-    """One row per column: counts, null rate and confidence, distinct estimate, lengths, classes, numbers, times, quantiles, top values.
+    """One row per column (``depth``: basic without sketches, standard with them): counts, null rate and confidence, distinct estimate, lengths, classes, numbers, times, quantiles, top values.
 
     A single pass with partial aggregation; every metric merges across partitions.
     """

@@ -20,9 +20,11 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from dumpquarry import ddl
 from dumpquarry.catalog import Catalog, TableDef
 from dumpquarry.dialect import bare, detect
-from dumpquarry.session import staging_path
+from dumpquarry.session import ship, staging_path
 from dumpquarry.sources import files, splits, tokenizer
 
+#: Characters of statement texts that are handed on at once.
+BATCH_CHARS = 8 << 20
 STATEMENT_SCHEMA = "path string, start long, idx int, kind string, table_name string, text string"
 
 
@@ -228,6 +230,7 @@ class Dump:
 
     def __init__(self, spark: SparkSession, paths: list[str], dialect: str | None = None, split_bytes: int = splits.SPLIT_BYTES) -> None:
         self.spark, self.paths = spark, paths
+        ship(spark)
         self.detection = detect(files.open_text(paths[0]).read(8192))
         self.dialect = dialect or self.detection.dialect
         self.splits = splits.plan(spark, paths, self.dialect, split_bytes)
@@ -242,6 +245,7 @@ class Dump:
             for batch in batches:
                 for r in batch.to_pylist():
                     block: list[dict] = []
+                    held = 0
                     for s in split_statements(splits.Split(**r), dialect):
                         if kinds and s.kind not in kinds:
                             continue
@@ -252,9 +256,10 @@ class Dump:
                             entry["n_bytes"] = len(s.text.encode("utf-8", "surrogateescape"))
                             entry["n_rows"] = sum(1 for _ in tokenizer.insert_rows(s.text, dialect)[1]) if s.kind == "insert" else sum(1 for _ in tokenizer.copy_rows(s.text)) if s.kind == "copy_data" else 0
                         block.append(entry)
-                        if len(block) >= 500:
+                        held += len(s.text) if text else 0
+                        if len(block) >= 500 or held > BATCH_CHARS:
                             yield pa.RecordBatch.from_pylist(block, schema=arrow)
-                            block = []
+                            block, held = [], 0
                     if block:
                         yield pa.RecordBatch.from_pylist(block, schema=arrow)
 
