@@ -15,6 +15,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dumpquarry.session import stage
+
 STATES = ("missing", "late", "deleted")
 
 
@@ -109,7 +111,10 @@ def orphan_references(tables: Mapping[str, DataFrame], references: Sequence[Refe
     reference ``missing``); other columns of the tables are ignored, whatever their names.
     """
     parents = list(dict.fromkeys(r.parent for r in references))
-    suspect = reference_groups(tables, references).where("has_parent = 0 or p_loaded > c_loaded or p_deleted < c_at").select("parent", "key", "has_parent", "p_loaded", "p_deleted")
+    kept = reference_groups(tables, references).where("has_parent = 0 or p_loaded > c_loaded or p_deleted < c_at").select("parent", "key", "has_parent", "p_loaded", "p_deleted")
+    # written, so that its size is known before the join, and so that the join has an exchange of its own on either
+    # side, without which Spark does not split the partition of a hot key
+    suspect = stage(kept, "suspect")
     rows = _children(tables, references, parents).join(suspect, ["parent", "key"])
     states: list[Column] = [
         F.when(F.col("has_parent") == 0, F.lit("missing")),
