@@ -17,9 +17,6 @@ from pyspark.sql import types as T
 
 from dumpquarry.session import stage, staging_path
 
-#: Texts of more characters are counted under their digest (md5, 128 bits) with their length, so the tables stay small beside the data.
-LONG_TEXT = 64
-
 
 @dataclass(frozen=True)
 class Domain:
@@ -50,13 +47,10 @@ class Thresholds:
 
 
 def _text(value: Column, kind: T.DataType) -> Column:
-    """A value as the text it is counted under; equal values have equal texts. Long ones: ``#``, length and digest."""
+    """A value as the whole text it is counted under; equal values have equal texts."""
     if isinstance(kind, (T.DoubleType, T.FloatType)):
         value = value + F.lit(0.0)  # -0.0 is 0.0
-    text = F.to_json(F.struct(value.alias("v"))) if isinstance(kind, (T.StructType, T.ArrayType, T.MapType)) else value.cast("string")
-    if isinstance(kind, (T.StringType, T.StructType, T.ArrayType, T.MapType)):
-        return F.when(F.length(text) > LONG_TEXT, F.concat(F.lit("#"), F.length(text).cast("string"), F.lit(":"), F.md5(text.cast("binary")))).otherwise(text)
-    return text
+    return F.to_json(F.struct(value.alias("v"))) if isinstance(kind, (T.StructType, T.ArrayType, T.MapType)) else value.cast("string")
 
 
 def value_counts(rows: DataFrame, columns: list[str], load: str, domains: tuple[Domain, ...] = (), sign: int = 1) -> DataFrame:
@@ -100,10 +94,13 @@ class CountTables:
         value_counts(rows, columns, load, domains, sign).write.mode("append").parquet(self.path)
         return self
 
+    def log(self) -> DataFrame:
+        """The signed deltas as they were added; a value may have several."""
+        return self.spark.read.parquet(self.path)
+
     def deltas(self) -> DataFrame:
         """The maintained counts per load; what was withdrawn in full is gone."""
-        kept = self.spark.read.parquet(self.path)
-        return kept.groupBy("column_name", "load_id", "value", "beside").agg(F.first("num").alias("num"), F.first("ok").alias("ok"), F.sum("n").alias("n")).where("n != 0")
+        return self.log().groupBy("column_name", "load_id", "value", "beside").agg(F.first("num").alias("num"), F.first("ok").alias("ok"), F.sum("n").alias("n")).where("n != 0")
 
     def compact(self) -> CountTables:
         """Fold the log into one generation, in a new folder."""
@@ -117,12 +114,13 @@ def profile(counts: DataFrame, upto: int | None = None) -> DataFrame:
     """Exact metrics per column and load: column_name, load_id, n_rows, null_rate, n_distinct, n_invalid, num_min, num_max, text_min, text_max, entropy.
 
     entropy is in bits over the non-null values. With ``upto``, one row per column covers all loads up to that one.
-    NaN is left out of num_min and num_max. Defined results: an all-null column has null ranges, distinct count and
-    entropy 0; text ranges of values counted under a digest compare by digest text.
+    ``counts`` may be maintained counts or the log of signed deltas: values withdrawn in full count for nothing. NaN is
+    left out of num_min and num_max. Defined results: an all-null column has null ranges, distinct count and entropy 0;
+    text ranges are whole values of the column, compared by their UTF-8 bytes.
     """
     if upto is not None:
         counts = counts.where(F.col("load_id") <= upto).withColumn("load_id", F.lit(upto).cast("long"))
-    values = counts.groupBy("column_name", "load_id", "value").agg(F.sum("n").alias("n"), F.sum(F.when(~F.col("ok"), F.col("n")).otherwise(0)).alias("bad"), F.first("num").alias("num"))
+    values = counts.groupBy("column_name", "load_id", "value").agg(F.sum("n").alias("n"), F.sum(F.when(~F.col("ok"), F.col("n")).otherwise(0)).alias("bad"), F.first("num").alias("num")).where("n != 0")
     seen = F.col("value").isNotNull()
     number = F.when(~F.isnan("num"), F.col("num"))
     return values.groupBy("column_name", "load_id").agg(

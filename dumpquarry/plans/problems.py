@@ -61,7 +61,7 @@ def p5_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, domains in (("users", quality.USER_DOMAINS), ("posts", quality.POST_DOMAINS)):
         rows = table(spark, sf_dir, name)
         tables = quality.CountTables(spark).apply(rows, [c for c in rows.columns if c != "load_id"], "load_id", domains)
-        out.append(quality.profile(tables.deltas()).select(F.lit(name).alias("table_name"), "*"))
+        out.append(quality.profile(tables.log()).select(F.lit(name).alias("table_name"), "*"))
     return reduce(DataFrame.unionByName, out)
 
 

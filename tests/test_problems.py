@@ -221,6 +221,18 @@ def test_counts_take_signed_deltas(spark):
     assert (whole.n_rows, whole.n_distinct, whole.entropy) == (3, 2, 1.0)
 
 
+def test_text_range_is_whole_values(spark):
+    low, high = "A" * 80 + "1", "z" * 80 + "2"
+    df = spark.createDataFrame([(1, low, 1), (2, "A" * 80 + "2", 1), (3, "m", 1), (4, high, 1), (5, "z" * 80 + "1", 1), (6, "k" * 70, 2)], "id long, t string, load_id int")
+    tables = quality.CountTables(spark).apply(df, ["t"], "load_id")
+    got = {r.load_id: (r.text_min, r.text_max) for r in quality.profile(tables.deltas()).collect()}
+    assert got == {1: (low, high), 2: ("k" * 70, "k" * 70)}
+    tables.apply(df.where("id in (1, 4)"), ["t"], "load_id", sign=-1)
+    for counts in (tables.log(), tables.deltas()):
+        r = quality.profile(counts).where("load_id = 1").collect()[0]
+        assert (r.text_min, r.text_max, r.n_rows, r.n_distinct) == ("A" * 80 + "2", "z" * 80 + "1", 3, 3)
+
+
 # --- copies
 
 
