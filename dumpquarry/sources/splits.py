@@ -69,6 +69,8 @@ def scan(block: bytes, state: str, dialect: str) -> tuple[str, int, str]:
             at = block.find(b"*/", i)
             if at < 0:
                 return "*", first, header
+            if i == 0:  # a comment that goes on from the block before is no part of a statement's text
+                began = at + 2
             i, state = at + 2, "n"
             continue
         if state in closing:
@@ -91,8 +93,7 @@ def scan(block: bytes, state: str, dialect: str) -> tuple[str, int, str]:
         if token == delimiter:
             if dialect == "postgres":
                 statement = block[began : m.start()].decode("utf-8", "replace").lstrip()
-                kind = tokenizer.classify(statement[-2000:] if len(statement) > 2000 else statement)[0]
-                if kind == "copy":
+                if tokenizer.classify(statement)[0] == "copy":
                     state, header = "c", statement.strip()
                     line = block.find(b"\n", i)
                     i = line + 1 if line >= 0 else n

@@ -149,6 +149,20 @@ def test_splits_lose_nothing(spark, tmp_path, dialect, copy):
     assert back.exceptAll(df).count() == 0 == df.exceptAll(back).count()
 
 
+@pytest.mark.parametrize("before", ["", "-- a remark\n" * 400, "/* a remark\n" + "goes on\n" * 800 + "*/\n"])
+def test_splits_after_a_long_copy_header(spark, tmp_path, before):
+    names = ["id", "t", *[f"a_rather_long_column_name_{i}" for i in range(150)]]
+    rows = [(i, "it's; (1, 'x');" if i % 3 == 0 else f"plain {i}") for i in range(400)]
+    head = f"CREATE TABLE x ({', '.join(n + (' bigint' if n == 'id' else ' text') for n in names)});\n"
+    data = "".join(f"{i}\t{t}" + "\t\\N" * 150 + "\n" for i, t in rows)
+    path = write(tmp_path, "wide.sql", f"-- PostgreSQL database dump\n{head}{before}COPY x ({', '.join(names)}) FROM stdin;\n{data}\\.\n")
+    for size in (3000, 20_000):
+        parts = splits.plan(spark, [path], "postgres", size)
+        assert len(parts) > 1
+        got = [(int(r[0]), r[1]) for p in parts for r in split_rows(p, "postgres", "x", names)]
+        assert sorted(got) == rows
+
+
 def test_compression_and_globs(spark, tmp_path):
     data = MYSQL.encode()
     (tmp_path / "a.sql.gz").write_bytes(gzip.compress(data[:500]) + gzip.compress(data[500:]))
