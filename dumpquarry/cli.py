@@ -70,6 +70,7 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--sql", action="append", default=[])
     c.add_argument("--format", choices=formats.FORMATS, default="table")
     c.add_argument("--cache")
+    c.add_argument("--limit", type=int, help="at most so many rows of each result; without it all")
     c = sub.add_parser("generate", help="a synthetic database from a model")
     c.add_argument("files", nargs=1)
     c.add_argument("-o", "--output", required=True)
@@ -79,7 +80,7 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
-def repl(spark: SparkSession, names: Sequence[str], lines, out) -> None:
+def repl(spark: SparkSession, names: Sequence[str], lines, out, limit: int | None = None) -> None:
     """SQL, and .tables .schema T .describe T .format F .count T .sample T .export F .quit"""
     form = "table"
     for line in lines:
@@ -107,7 +108,7 @@ def repl(spark: SparkSession, names: Sequence[str], lines, out) -> None:
             elif word.startswith("."):
                 out.write(f"unknown command {word}\n")
             else:
-                out.write(formats.render(shim.run(spark, line), form))
+                formats.stream(shim.run(spark, line), form, out, limit)
         except Exception as e:  # noqa: BLE001 - the prompt goes on
             out.write(f"error: {str(e).splitlines()[0]}\n")
 
@@ -142,7 +143,7 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None, o
     dump = read_dump(spark, args.files, args.dialect)
     tables = lambda: {t.name: dump.table(t.name) for t in dump.catalog}
     if args.command == "analyze":
-        out.write(formats.render(statements.analyze(dump)))
+        formats.stream(statements.analyze(dump), "table", out)
     elif args.command == "split":
         statements.split(dump, args.output, args.tables, args.exclude, args.only, args.compression)
     elif args.command == "convert":
@@ -154,7 +155,8 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None, o
             sys.stderr.write(f"warning: {r.w}\n")
     elif args.command == "validate":
         found = validate.issues(tables(), dump.catalog, dump.statements())
-        out.write(formats.render(validate.report(found)) + formats.render(validate.summary(found)))
+        formats.stream(validate.report(found), "table", out)
+        formats.stream(validate.summary(found), "table", out)
         return int(not found.where("severity = 'error'").isEmpty())
     elif args.command == "sample":
         r = sample.sample(tables(), dump.catalog, sample.SampleConfig(args.percent, args.rows, args.seed, strict=args.strict, max_total_rows=args.max_total_rows))
@@ -179,9 +181,9 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None, o
         names = dump.register(cache=args.cache)
         if args.sql:
             for text in args.sql:
-                out.write(formats.render(shim.run(spark, text), args.format))
+                formats.stream(shim.run(spark, text), args.format, out, args.limit)
         else:
-            repl(spark, names, stdin, out)
+            repl(spark, names, stdin, out, args.limit)
     return 0
 
 

@@ -1,10 +1,12 @@
-"""Query results as table, JSON, JSON lines, CSV or TSV: small ones as text, large ones by Spark's writers."""
+"""Query results as table, JSON, JSON lines, CSV or TSV: as text row by row, or by Spark's writers."""
 
 from __future__ import annotations
 
 import csv
 import io
 import json
+import tempfile
+from typing import TextIO
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,26 +24,44 @@ def _plain(v: object) -> object:
     return str(v)
 
 
-def render(df: DataFrame, form: str = "table", limit: int = 10_000) -> str:
-    """A result of up to ``limit`` rows as text, with true types in JSON. For larger results use :func:`write`."""
-    rows = df.limit(limit).collect()
-    names = df.columns
+def stream(df: DataFrame, form: str, out: TextIO, limit: int | None = None) -> None:
+    """A result as text, with true types in JSON: all rows, or up to ``limit``, by partition. A table's rows wait in a local file until its widths are known."""
+    if form not in FORMATS:
+        raise ValueError(f"unknown format {form}")
+    rows, names = (df if limit is None else df.limit(limit)).toLocalIterator(), df.columns
     if form == "json":
-        return json.dumps([dict(zip(names, map(_plain, r))) for r in rows], ensure_ascii=False, indent=2) + "\n"
-    if form == "jsonl":
-        return "".join(json.dumps(dict(zip(names, map(_plain, r))), ensure_ascii=False) + "\n" for r in rows)
-    if form in ("csv", "tsv"):
-        out = io.StringIO()
+        n = 0
+        for n, r in enumerate(rows, 1):
+            text = json.dumps(dict(zip(names, map(_plain, r))), ensure_ascii=False, indent=2)
+            out.write(("[\n  " if n == 1 else ",\n  ") + text.replace("\n", "\n  "))
+        out.write("\n]\n" if n else "[]\n")
+    elif form == "jsonl":
+        for r in rows:
+            out.write(json.dumps(dict(zip(names, map(_plain, r))), ensure_ascii=False) + "\n")
+    elif form in ("csv", "tsv"):
         w = csv.writer(out, delimiter="\t" if form == "tsv" else ",", lineterminator="\n")
         w.writerow(names)
-        w.writerows([["" if v is None else _plain(v) for v in r] for r in rows])
-        return out.getvalue()
-    if form != "table":
-        raise ValueError(f"unknown format {form}")
-    cells = [names, *[["NULL" if v is None else str(_plain(v)) for v in r] for r in rows]]
-    widths = [max(len(r[i]) for r in cells) for i in range(len(names))]
-    lines = [" | ".join(c.ljust(w) for c, w in zip(r, widths)).rstrip() for r in cells]
-    return "\n".join([lines[0], "-+-".join("-" * w for w in widths), *lines[1:]]) + f"\n({len(rows)} rows)\n"
+        w.writerows(["" if v is None else _plain(v) for v in r] for r in rows)
+    else:
+        widths, n = [len(c) for c in names], 0
+        line = lambda cells: " | ".join(c.ljust(w) for c, w in zip(cells, widths)).rstrip()
+        with tempfile.TemporaryFile("w+", encoding="utf-8", errors="surrogatepass", newline="") as kept:
+            for n, r in enumerate(rows, 1):
+                cells = ["NULL" if v is None else str(_plain(v)) for v in r]
+                widths = [max(w, len(c)) for w, c in zip(widths, cells)]
+                kept.write(json.dumps(cells) + "\n")
+            kept.seek(0)
+            out.write("\n".join([line(names), "-+-".join("-" * w for w in widths), ""]))
+            for cells in kept:
+                out.write(line(json.loads(cells)) + "\n")
+        out.write(f"({n} rows)\n")
+
+
+def render(df: DataFrame, form: str = "table", limit: int | None = None) -> str:
+    """A result as one text, for small ones; see :func:`stream`."""
+    out = io.StringIO()
+    stream(df, form, out, limit)
+    return out.getvalue()
 
 
 def write(df: DataFrame, path: str, form: str, compression: str = "none") -> None:

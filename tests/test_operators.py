@@ -2,6 +2,7 @@
 
 import io
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -287,6 +288,28 @@ def test_command_line(spark, tmp_path, shop):
     assert set(json.loads(cli.schemas())) == {"diff", "graph"}
 
 
+@pytest.mark.parametrize("form", ["csv", "tsv", "jsonl", "json", "table"])
+def test_query_gives_all_rows(spark, tmp_path, shop, form):
+    path = sqlwriter.write_dump({"tenants": shop["tenants"]}, str(tmp_path / "d.sql"), "mysql", SHOP)
+    sql = "select id as i, 'a' as t from range(10500) order by i"
+
+    def run(*argv, lines=()):
+        out = io.StringIO()
+        cli.main(["query", path, "--format", form, *argv], spark, out, list(lines))
+        return out.getvalue()
+
+    def ids(said):
+        return [int(x) for x in re.findall(r'^(?:\s*"i": |\{"i": )?(\d+)', said, re.M)]
+
+    assert ids(run("--sql", sql)) == list(range(10_500))
+    assert ids(run("--sql", sql, "--limit", "5")) == list(range(5))
+    said = run(lines=[f".format {form}", sql])
+    assert ids(said) == list(range(10_500)) and (form != "table" or said.endswith("(10500 rows)\n"))
+    if form == "json":
+        rows = [{"i": i, "t": "a"} for i in range(10_500)]
+        assert run("--sql", sql) == json.dumps(rows, indent=2) + "\n" and run("--sql", "select 1 as x where false") == "[]\n"
+
+
 FIXTURES = {
     "duplicate": ("-- MySQL dump\nCREATE TABLE `people` (`id` int NOT NULL, `name` varchar(9), PRIMARY KEY (`id`));\nINSERT INTO `people` VALUES (1,'a'),(2,'b'),(1,'c');\n", {("DUPLICATE_PK", "people", 2)}),
     "missing parent": ("-- MySQL dump\nCREATE TABLE `units` (`id` int PRIMARY KEY);\nCREATE TABLE `staff` (`id` int PRIMARY KEY, `unit_id` int, FOREIGN KEY (`unit_id`) REFERENCES `units` (`id`));\nINSERT INTO `units` VALUES (1);\nINSERT INTO `staff` VALUES (1,1),(2,99),(3,NULL);\n", {("FK_MISSING_PARENT", "staff", 1)}),
