@@ -355,6 +355,11 @@ def redact_hash_domain(spark, sf_dir):
     return redact.redact(u, "users", [redact.Rule("users.email", "hash", preserve_domain=True)], ["id"]).select("id", "email")
 
 
+@query("select id, case when strpos(email, '@') = 0 then substr(sha256(email), 1, 16) else substr(sha256(regexp_extract(email, '^(.*)@', 1, 's')), 1, 8) || '@' || regexp_extract(email, '@([^@]*)$', 1, 's') end as email from users")
+def redact_hash_domain_whole(spark, sf_dir):
+    return redact.redact(table(spark, sf_dir, "users"), "users", [redact.Rule("users.email", "hash", preserve_domain=True)], ["id"]).select("id", "email")
+
+
 @query("select c_custkey, '***-' || substr(c_name, 4, 1) || substr(c_name, 5, 1) as c_name from (select c_custkey, replace(c_name, '-', '_') as c_name from customer)")
 def redact_mask(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", redaction.masked(F.translate("c_name", "-", "_"), "***-XX", 42, "customer").alias("c_name"))
