@@ -638,7 +638,7 @@ def verify_predicates(spark, sf_dir):
 
 @query()
 def infer_star_model(spark, sf_dir):
-    profiles = {"customer": {r["column_name"]: r.asDict(recursive=True) for r in sketches.profile(table(spark, sf_dir, "customer")).collect()}}
+    profiles = {t.name: {r["column_name"]: r.asDict(recursive=True) for r in sketches.profile(table(spark, sf_dir, t.name)).collect()} for t in STAR}
     model = infer.infer_model(STAR, 500, profiles)
     return spark.createDataFrame([(t, c, s["kind"]) for t, m in model["tables"].items() for c, s in m["columns"].items()], "table_name string, column_name string, generator string")
 

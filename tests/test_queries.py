@@ -18,3 +18,9 @@ def test_redaction_meets_dirty_emails(spark, tmp_path):
 
     got = dict(map(tuple, database.QUERIES["redact_hash_domain_whole"](spark, str(tmp_path)).collect()))
     assert got == {i: wanted(v) for i, v in enumerate(values)}
+
+
+def test_model_is_inferred_from_all_tables(spark):
+    got = {(r.table_name, r.column_name): r.generator for r in database.QUERIES["infer_star_model"](spark, "/root/testdata/sf0.001").collect()}
+    assert len(got) == sum(len(t.columns) for t in database.STAR)
+    assert {got[k] for k in (("orders", "o_orderstatus"), ("lineitem", "l_returnflag"), ("events", "event_type"))} == {"weighted_choice"}
