@@ -147,10 +147,8 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None, o
     elif args.command == "split":
         statements.split(dump, args.output, args.tables, args.exclude, args.only, args.compression)
     elif args.command == "convert":
-        made = convert.convert(dump, args.to, args.strict).orderBy("path", "start", "idx", "part")
-        with open(args.output, "w", encoding="utf-8") as f:
-            f.write(sqlwriter.header(args.to))
-            sqlwriter.join_parts(made.where("text is not null").select("text"), f, "\nGO\n" if args.to == "mssql" else ";\n")
+        made = convert.convert(dump, args.to, args.strict)
+        convert.convert_to_file(made, args.output, args.to)
         for r in made.selectExpr("explode(warnings) as w").distinct().limit(1000).collect():
             sys.stderr.write(f"warning: {r.w}\n")
     elif args.command == "validate":

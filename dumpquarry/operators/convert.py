@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -12,6 +14,7 @@ from pyspark.sql import DataFrame
 from dumpquarry import ddl
 from dumpquarry.catalog import TableDef
 from dumpquarry.dialect import quote
+from dumpquarry.sinks.sqlwriter import footer, header, join_parts
 from dumpquarry.sources import tokenizer
 from dumpquarry.sources.dump import Dump
 
@@ -216,31 +219,40 @@ def convert_statement(kind: str, text: str, table_name: str | None, header: str
 def convert(dump: Dump, target: str, strict: bool = False) -> DataFrame:
     """All statements in the target dialect: path, start, idx, part, text (null where there is none), warnings.
 
-    Each split is converted by one task; only the catalog is sent to them. With ``strict``, a warning is an error.
+    Each split is converted by one task, to which only the catalog is sent; partitions and rows are in the order of the
+    statements. With ``strict``, a warning is an error.
     """
-    source, parts = dump.dialect, dump.splits
-    tables = {}
-    for t in dump.catalog:
-        tables[t.name.lower()] = t
-    arrow = pa.schema([("path", pa.string()), ("start", pa.int64()), ("idx", pa.int32()), ("part", pa.int32()), ("text", pa.string()), ("warnings", pa.list_(pa.string()))])
-    from dataclasses import asdict
-
     from dumpquarry.sources.dump import _clean, split_statements
-    from dumpquarry.sources.splits import Split
+    from dumpquarry.sources.splits import Splits
+
+    source, parts = dump.dialect, Splits(dump.spark, dump.splits)
+    tables = {t.name.lower(): t for t in dump.catalog}
+    arrow = pa.schema([("path", pa.string()), ("start", pa.int64()), ("idx", pa.int32()), ("part", pa.int32()), ("text", pa.string()), ("warnings", pa.list_(pa.string()))])
 
     def run(batches):
         for batch in batches:
-            for r in batch.to_pylist():
-                header = None
-                for s in split_statements(Split(**r), source):
-                    header = s.text if s.kind == "copy" else header
-                    out, warnings = convert_statement(s.kind, s.text, s.table, header if s.kind == "copy_data" else None, tables, source, target)
+            for n in batch.column(0).to_pylist():
+                split = parts[n]
+                copying = split.header or None
+                for s in split_statements(split, source):
+                    copying = s.text if s.kind == "copy" else copying
+                    out, warnings = convert_statement(s.kind, s.text, s.table, copying if s.kind == "copy_data" else None, tables, source, target)
                     if strict and warnings:
                         raise ConversionError(str(warnings[0]))
-                    rows = [{"path": r["path"], "start": r["start"], "idx": s.index, "part": i, "text": _clean(t), "warnings": [f"{w.kind}: {w.detail}" for w in warnings] if i == 0 else []} for i, t in enumerate(out or [None] * bool(warnings))]
+                    rows = [{"path": split.path, "start": split.start, "idx": s.index, "part": i, "text": _clean(t), "warnings": [f"{w.kind}: {w.detail}" for w in warnings] if i == 0 else []} for i, t in enumerate(out or [None] * bool(warnings))]
                     if rows:
                         yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
-    rows = [tuple(asdict(s).values()) for s in parts]
-    df = dump.spark.createDataFrame(rows, "path string, start long, end long, header string")
-    return df.repartition(len(rows)).mapInArrow(run, "path string, start long, idx int, part int, text string, warnings array<string>")
+    return parts.ids().mapInArrow(run, "path string, start long, idx int, part int, text string, warnings array<string>")
+
+
+def convert_to_file(made: DataFrame, path: str, target: str) -> str:
+    """The statements of :func:`convert` in one file, joined from parts that the executors wrote and published by renaming."""
+    final = Path(path)
+    unfinished = final.with_name(f".{final.name}.part")
+    with unfinished.open("w", encoding="utf-8", newline="") as out:
+        out.write(header(target))
+        join_parts(made.where("text is not null").select("text"), out, "\nGO\n" if target == "mssql" else ";\n")
+        out.write(footer(target))
+    os.replace(unfinished, final)
+    return str(final)

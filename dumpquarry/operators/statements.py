@@ -53,12 +53,18 @@ def analyze(dump: Dump) -> DataFrame:
 
 
 def split(dump: Dump, folder: str, include: Iterable[str] = (), exclude: Iterable[str] = (), only: str | None = None, compression: str = "none") -> str:
-    """Statements into one folder per table (``table=name``), in file order within each: one shuffle by file range and table, none by table alone, so a large table is written by many tasks."""
+    """Statements into one folder per table (``table=name``), whose files, in the order of their names, hold them in the order of the dump.
+
+    There is no shuffle: a task writes the tables of its neighbouring splits, so a large table is written by many tasks
+    and there are about as many files as splits and tables together.
+    """
     terminator = "\nGO" if dump.dialect == "mssql" else ";"
-    chosen = tables_like(content(dump.statements(), only), include, exclude).where("table_name is not null")
+    placed = dump.statements(whole_copies=True).withColumn("pos", F.monotonically_increasing_id())
+    chosen = tables_like(content(placed, only), include, exclude).where("table_name is not null")
     text = F.when(F.col("kind") == "copy_data", F.concat("text", F.lit("\\."))).otherwise(F.concat("text", F.lit(terminator)))
-    # the files of a folder, in order of their names, hold the statements in order
-    chosen.select(F.lower("table_name").alias("table"), text.alias("value")).write.mode("overwrite").option("compression", compression).partitionBy("table").text(folder)
+    # sorted by table and place here, the writer has nothing left to sort
+    ordered = chosen.select(F.lower("table_name").alias("table"), "pos", text.alias("value")).sortWithinPartitions("table", "pos").drop("pos")
+    ordered.write.mode("overwrite").option("compression", compression).partitionBy("table").text(folder)
     return folder
 
 
@@ -75,7 +81,7 @@ def merge(dumps: Iterable[Dump], path: str, dialect: str, transaction: bool = Tr
         if transaction:
             out.write({"mysql": "START TRANSACTION;\n", "mssql": "BEGIN TRANSACTION;\nGO\n", "sqlite": "BEGIN TRANSACTION;\n"}.get(dialect, "BEGIN;\n"))
         for d in dumps:
-            chosen = tables_like(content(d.statements()), include, exclude) if include or exclude else d.statements()
+            chosen = tables_like(d.statements(whole_copies=True), include, exclude)
             texts = F.when(F.col("kind") == "copy_data", F.concat("text", F.lit("\\.\n"))).otherwise(F.concat("text", F.lit(terminator)))
             join_parts(chosen.where("table_name is not null").select(texts.alias("value")), out, "\n")
         if transaction:
@@ -92,13 +98,13 @@ def order(catalog: Catalog, reverse: bool = False) -> list[str]:
 
 
 def ordered_statements(dump: Dump, reverse: bool = False) -> DataFrame:
-    """The statements grouped by table in safe order: DDL of all tables, then data; with ``pos``."""
+    """The statements grouped by table in safe order: DDL of all tables, then data; ``pos`` is the table's place, ``at`` the statement's in the dump."""
     place = {bare(n).lower(): i for i, n in enumerate(order(dump.catalog, reverse))}
     rank = F.create_map(*[F.lit(x) for kv in place.items() for x in kv]) if place else None
     last = F.lower(F.element_at(F.split("table_name", r"\."), -1))
     group = F.when(F.col("table_name").isNull(), -1).when(F.col("kind").isin("create_table", "drop_table"), 0).when(F.col("kind").isin(*DATA_KINDS), 1).otherwise(2)
     pos = F.coalesce(F.try_element_at(rank, last), F.lit(len(place))) if rank is not None else F.lit(0)
-    return dump.statements().select("*", group.alias("phase"), pos.alias("pos")).orderBy("phase", "pos", "path", "start", "idx")
+    return dump.statements().select("*", group.alias("phase"), pos.alias("pos"), F.monotonically_increasing_id().alias("at")).orderBy("phase", "pos", "at")
 
 
 def matching_views(tables: Mapping[str, DataFrame], include: Iterable[str]) -> dict[str, DataFrame]:

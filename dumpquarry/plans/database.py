@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dumpquarry import ddl
@@ -95,9 +95,7 @@ def dump_roundtrip_gzip_customer(spark, sf_dir):
 
 @query("select c_mktsegment, count(*) as n, round(sum(o_totalprice), 2) as total from customer join orders on c_custkey = o_custkey group by 1")
 def dump_query(spark, sf_dir):
-    d = _dump(spark, sf_dir, "customer", "orders")
-    d.register()
-    return spark.sql("select c_mktsegment, count(*) as n, round(sum(o_totalprice), 2) as total from customer join orders on c_custkey = o_custkey group by 1")
+    return _dump(spark, sf_dir, "customer", "orders").query("select c_mktsegment, count(*) as n, round(sum(o_totalprice), 2) as total from customer join orders on c_custkey = o_custkey group by 1")
 
 
 @query("select * from supplier")
@@ -139,6 +137,75 @@ def merge_tables(spark, sf_dir):
     return read_dump(spark, statements.merge([a, b], dump_path(spark, "merged.sql"), "mysql"), "mysql").table("nation")
 
 
+def _runs(dump: Dump) -> DataFrame:
+    """What follows what in a dump: pos, table_name, kind, n_rows of each table's DDL and data, and whether nothing else stands between its statements."""
+    at = dump.statements(text=False).withColumn("at", F.monotonically_increasing_id()).where("table_name is not null")
+    at = at.withColumn("rank", F.row_number().over(Window.orderBy("at")))  # one row per statement of some thousand rows
+    per = at.groupBy("table_name", "kind").agg(F.min("rank").alias("lo"), F.max("rank").alias("hi"), F.count("*").alias("n"), F.sum("n_rows").alias("n_rows"))
+    return per.select((F.row_number().over(Window.orderBy("lo")) - 1).alias("pos"), "table_name", "kind", "n_rows", (F.col("hi") - F.col("lo") + 1 == F.col("n")).alias("unbroken"))
+
+
+_ORDERED = " union all ".join(
+    f"select {2 * i} as pos, '{t}' as table_name, 'create_table' as kind, 0::bigint as n_rows, true as unbroken union all select {2 * i + 1}, '{t}', 'insert', (select count(*) from {t}), true" for i, t in enumerate(("nation", "customer", "orders", "supplier"))
+)
+
+
+@query(_ORDERED)
+def merge_ordered(spark, sf_dir):
+    """The merged dump of one that is read in many splits and of a second holds the statements in their order."""
+    a, b = _dump(spark, sf_dir, "nation", "customer", "orders", split_bytes=100_000), _dump(spark, sf_dir, "supplier")
+    return _runs(read_dump(spark, statements.merge([a, b], dump_path(spark, "merged.sql"), "mysql"), "mysql", 100_000))
+
+
+@query(" union all ".join(f"select '{t}' as table_name, 'create_table' as first_kind, min({k}) as first_key, count(*) as n_rows, 0::bigint as n_back from {t}" for t, k in (("customer", "c_custkey"), ("orders", "o_orderkey"))))
+def split_ordered(spark, sf_dir):
+    """Of each table's files, in the order of their names: the first statement, the first key, the rows, and how often a key is not above the one before (the tables are written in the order of their keys)."""
+    tables = star(spark, sf_dir, "customer", "orders")
+    path = sqlwriter.write_dump({n: df.orderBy(STAR.get(n).primary_key[0]) for n, df in tables.items()}, dump_path(spark, "dump.sql"), "mysql", STAR)
+    folder = statements.split(read_dump(spark, path, "mysql", 100_000), dump_path(spark, "split"))
+    parts = []
+    for t in tables:
+        key = STAR.get(t).primary_key[0]
+        d = read_dump(spark, sorted(str(p) for p in Path(folder, f"table={t}").glob("part-*")), "mysql")
+        rows = d.table(t, [key]).select(F.col(key).alias("k"), F.monotonically_increasing_id().alias("at"))
+        back = rows.select("k", F.lag("k").over(Window.orderBy("at")).alias("before"))
+        first = d.statements(text=False).withColumn("at", F.monotonically_increasing_id()).agg(F.min_by("kind", "at").alias("first_kind"))
+        counted = back.agg(F.first("k").alias("first_key"), F.count("*").alias("n_rows"), F.count_if(F.col("before") >= F.col("k")).alias("n_back"))
+        parts.append(first.crossJoin(counted).select(F.lit(t).alias("table_name"), "*"))
+    return parts[0].unionByName(parts[1])
+
+
+@query("select 'insert' as kind, (select count(*) from orders) as n_rows, count(*) as n_tables from (values ('nation'), ('customer'), ('orders')) t(x)")
+def split_pruned(spark, sf_dir):
+    """A table is read from the splits that hold it: all its rows, though fewer splits than the dump has."""
+    d = _dump(spark, sf_dir, "nation", "customer", "orders", split_bytes=100_000)
+    assert len(d.splits_of("customer")) < len(d.splits)
+    return d.table("orders", ["o_orderkey"]).agg(F.lit("insert").alias("kind"), F.count("*").alias("n_rows"), F.lit(len(d.catalog.names())).cast("long").alias("n_tables"))
+
+
+@query("select *, true as from_cache from supplier")
+def dump_cache_hit(spark, sf_dir):
+    """The second reading finds the first one's tables; a half-written folder is not taken for a table."""
+    d = _dump(spark, sf_dir, "supplier")
+    folder = dump_path(spark, "cache")
+    Path(folder, d.key(), "supplier", "_temporary").mkdir(parents=True)
+    d.cached("file://" + folder)
+    stamp = Path(folder, d.key(), "supplier", "_SUCCESS").stat().st_mtime_ns
+    again = read_dump(spark, d.paths, "mysql").cached("file://" + folder)["supplier"]
+    return again.withColumn("from_cache", F.lit(Path(folder, d.key(), "supplier", "_SUCCESS").stat().st_mtime_ns == stamp))
+
+
+@query("select 'made' as column_name, count(*) as n, '2024-02-30' as example from orders where o_orderkey % 7 = 0")
+def dump_misfits(spark, sf_dir):
+    """Values that do not fit the type of their column are told, with their number."""
+    odd = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 7 == 0, "2024-02-30").otherwise("2024-02-29").alias("made"))
+    catalog = ddl.build_catalog(["CREATE TABLE t (id bigint PRIMARY KEY, made date)"])
+    path = sqlwriter.write_dump({"t": odd}, dump_path(spark, "odd.sql"), "mysql", catalog, ddl=False)
+    with open(path, "a", encoding="utf-8") as f:
+        f.write("CREATE TABLE t (id bigint PRIMARY KEY, made date);\n")
+    return read_dump(spark, path, "mysql").misfits("t")
+
+
 @query("select * from (values ('insert', 'nation'), ('insert', 'region')) t(kind, table_name)")
 def content_filter(spark, sf_dir):
     return statements.content(_dump(spark, sf_dir, "region", "nation").statements(), "data").select("kind", "table_name").distinct()
@@ -656,11 +723,8 @@ def convert_types_matrix(spark, sf_dir):
 @query("select * from nation")
 def convert_copy_to_insert(spark, sf_dir):
     path = sqlwriter.write_dump(star(spark, sf_dir, "nation"), dump_path(spark, "p.sql"), "postgres", STAR, copy=True)
-    out = convert.convert(read_dump(spark, path, "postgres"), "mysql").where("text is not null").orderBy("path", "start", "idx", "part")
-    target = dump_path(spark, "converted.sql")
-    with open(target, "w", encoding="utf-8") as f:
-        f.write("-- MySQL dump\n" + "".join(r.text + ";\n" for r in out.select("text").toLocalIterator()))
-    return read_dump(spark, target, "mysql").table("nation")
+    made = convert.convert(read_dump(spark, path, "postgres"), "mysql")
+    return read_dump(spark, convert.convert_to_file(made, dump_path(spark, "converted.sql"), "mysql"), "mysql").table("nation")
 
 
 @query("select * from (values ('nation', 'n_regionkey', 'region'), ('customer', 'c_nationkey', 'nation'), ('supplier', 's_nationkey', 'nation'), ('orders', 'o_custkey', 'customer'), ('lineitem', 'l_orderkey', 'orders'), ('lineitem', 'l_partkey', 'part'), ('lineitem', 'l_suppkey', 'supplier'), ('events', 'user_id', 'customer')) t(child, column_name, parent)")

@@ -25,9 +25,11 @@ def builder(master: str = "local[8]", shuffle_partitions: int = 8) -> SparkSessi
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from ``spark.checkpoint.dir``; only where that is unset a local one is made."""
+    """The folder all executors share, from ``spark.checkpoint.dir``. Where that is unset, a session on one machine gets a folder of its own; on a cluster it is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="dumpquarry-")
         spark.conf.set("spark.checkpoint.dir", named)
         spark.sparkContext.setCheckpointDir(named)
@@ -46,6 +48,12 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, in whatever file system it names."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at))
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once per application, so that their Python workers can import it wherever they run."""
     context = spark.sparkContext

@@ -5,14 +5,15 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-from collections.abc import Iterable, Iterator
-from dataclasses import asdict, dataclass
+import re
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
+from dataclasses import dataclass, replace
 from functools import cached_property
 
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.csv as pacsv
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -20,7 +21,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from dumpquarry import ddl
 from dumpquarry.catalog import Catalog, TableDef
 from dumpquarry.dialect import bare, detect
-from dumpquarry.session import ship, staging_path
+from dumpquarry.session import exists, shared_dir, ship
 from dumpquarry.sources import files, splits, tokenizer
 
 #: Characters of statement texts that are handed on at once.
@@ -61,6 +62,19 @@ def split_statements(split: splits.Split, dialect: str, limits: tokenizer.Limits
         yield tokenizer.Statement(i, kind, table, text.strip())
 
 
+def _restarted(found: Iterable[tokenizer.Statement]) -> Iterator[tokenizer.Statement]:
+    """The statements, with the COPY statement repeated before every block of its data."""
+    copying, fresh = None, False
+    for s in found:
+        if s.kind == "copy":
+            copying, fresh = s, True
+        elif s.kind == "copy_data":
+            if not fresh and copying is not None:
+                yield copying
+            fresh = False
+        yield s
+
+
 def split_rows(split: splits.Split, dialect: str, table: str, columns: list[str]) -> Iterator[list[str | None]]:
     """Rows of one table in the order of ``columns``, values as texts; columns a statement does not name are None."""
     place = {c.lower(): i for i, c in enumerate(columns)}
@@ -120,8 +134,87 @@ def _copied(data: str, width: int) -> list[pa.Array] | None:
     return out
 
 
+#: Stand-ins: for ", " between values, for the end of a row, for escaped backslashes and quotes. Texts that hold them are read value by value.
+_COMMA, _ROW, _BACKSLASH, _QUOTE = "\x03", "\x02", "\x04", "\x05"
+_ROW_ENDS = re.compile(r"\)\s*,\s*\(")
+
+
+def _inserted(statement: str, dialect: str) -> tuple[list[str] | None, list[pa.Array]] | None:
+    """Column list and values by column of an INSERT of plain literals, parsed by Arrow as a CSV text; None where it holds others.
+
+    Ends of rows become a field and a line break of their own, everywhere; where that happened within a literal it is
+    undone in the parsed columns.
+    """
+    head = tokenizer.insert_head(statement)
+    if not head:
+        return None
+    given, at = head
+    text = statement[at:].rstrip().rstrip(";").rstrip()
+    if text[:1] != "(" or text[-1:] != ")" or any(c in text for c in "\0\x01\x02\x03\x04\x05"):
+        return None
+    escaped = "\\" in text
+    if escaped and dialect == "mysql":
+        text = text.replace("\\\\", _BACKSLASH).replace("\\'", _QUOTE)
+    parts = text.split("'")
+    if not len(parts) & 1:
+        return None
+    outside = "\0".join(parts[::2])
+    end = _ROW_ENDS.search(outside)
+    row_end = end[0] if end else "),("
+    bare_text = outside.replace(row_end, "\0")
+    spaced = ", " in bare_text
+    left = bare_text[1:-1].encode("utf-8", "replace")
+    commas = left.count(b",")
+    if spaced and left.count(b", ") != commas:
+        return None
+    # what stands outside of literals must be numbers, NULL and commas
+    rest = left.replace(b", " if spaced else b",", b"").replace(b"NULL", b"").translate(None, b"0123456789+-.eE\0")
+    if rest or b"--" in left or b"E\0" in left or b"e\0" in left:
+        return None
+    try:
+        raw = (text[1:-1].replace(row_end, f"{_COMMA if spaced else ','}{_ROW}\n")).replace(", ", _COMMA).encode() if spaced else text[1:-1].replace(row_end, f",{_ROW}\n").encode()
+        raw += f"{_COMMA if spaced else ','}{_ROW}".encode()
+        first = pacsv.read_csv(
+            pa.BufferReader(raw),
+            read_options=pacsv.ReadOptions(autogenerate_column_names=True, block_size=len(raw) + 1, use_threads=False),
+            parse_options=pacsv.ParseOptions(delimiter=_COMMA if spaced else ",", quote_char="'", double_quote=True, escape_char=False, newlines_in_values=True),
+            convert_options=_texts(outside, row_end, ", " if spaced else ","),
+        )
+    except (UnicodeEncodeError, pa.ArrowException):
+        return None
+    inside_row, inside_comma = text.count(row_end) > outside.count(row_end), spaced and text.count(", ") > outside.count(", ")
+    comma = _COMMA if spaced else ","
+    columns = []
+    for column in first.columns[:-1]:
+        values = column.combine_chunks()
+        if inside_row:
+            values = pc.replace_substring(values, f"{comma}{_ROW}\n", row_end)
+        if inside_comma:
+            values = pc.replace_substring(values, _COMMA, ", ")
+        if escaped and dialect == "mysql":
+            values = _unescaped(values)
+        columns.append(values)
+    return (given, columns) if first.num_rows == outside.count(row_end) + 1 else None
+
+
+def _texts(outside: str, row_end: str, comma: str) -> pacsv.ConvertOptions:
+    """All columns as texts, as many as the first row has, with unquoted NULL as null."""
+    width = outside.split(row_end, 1)[0].count(comma) + 2
+    return pacsv.ConvertOptions(column_types={f"f{i}": pa.string() for i in range(width)}, strings_can_be_null=True, null_values=["NULL"], quoted_strings_can_be_null=False)
+
+
+def _unescaped(values: pa.Array) -> pa.Array:
+    """MySQL literals without their escapes."""
+    if pc.any(pc.match_substring(values, "\\")).as_py():
+        values = pa.array([v if v is None or "\\" not in v else tokenizer.unbackslashed(v) for v in values.to_pylist()], pa.string())
+    for mark, said in ((_BACKSLASH, "\\"), (_QUOTE, "'")):
+        if pc.any(pc.match_substring(values, mark)).as_py():
+            values = pc.replace_substring(values, mark, said)
+    return values
+
+
 def split_batches(split: splits.Split, dialect: str, table: str, columns: list[str], wanted: list[str]) -> Iterator[pa.RecordBatch]:
-    """One table's rows as Arrow batches of texts. Plain INSERT and COPY blocks are decoded by column, others row by row."""
+    """One table's rows as Arrow batches of texts, of the columns wanted. Plain INSERT and COPY blocks are decoded by column, others row by row."""
     place = {c.lower(): i for i, c in enumerate(columns)}
     schema = pa.schema([(w, pa.string()) for w in wanted])
     header: list[str] | None = None
@@ -135,7 +228,7 @@ def split_batches(split: splits.Split, dialect: str, table: str, columns: list[s
             width = len(header) if header else len(columns)
             arrays = _copied(s.text, width) if width > 1 else None
             rows = None if arrays is not None else list(tokenizer.copy_rows(s.text, width))
-        elif found := tokenizer.insert_columns(s.text, dialect):
+        elif found := _inserted(s.text, dialect) or tokenizer.insert_columns(s.text, dialect):
             given, values = found
             arrays, rows = values, None
         else:
@@ -176,7 +269,7 @@ class SqlDumpSource(DataSource):
     """``spark.read.format("sqldump").option("table", "users").load(path)``: one table of a dump, all columns as text.
 
     Options: table (required), dialect (else detected), columns (JSON list, the table's columns in file order; else
-    from the DDL), splits (JSON, from :func:`read_dump`). A given schema selects columns by name.
+    from the DDL). A given schema selects columns by name. A file is one partition; :func:`read_dump` cuts files.
     """
 
     @classmethod
@@ -203,15 +296,14 @@ class SqlDumpSource(DataSource):
         return T.StructType([T.StructField(c, T.StringType()) for c in self._columns()])
 
     def reader(self, schema: T.StructType) -> DataSourceReader:
-        given = self.options.get("splits")
-        parts = [splits.Split(**s) for s in json.loads(given)] if given else [splits.Split(p, 0, -1) for p in self._paths()]
+        parts = [splits.Split(p, 0, -1) for p in self._paths()]
         return _Reader(parts, self._dialect(), self.options["table"], self._columns(), [f.name for f in schema])
 
 
-def typed(df: DataFrame, table: TableDef) -> DataFrame:
-    """Text columns cast to the table's types inside the JVM; what does not fit its type becomes null."""
+def typed(df: DataFrame, table: TableDef, columns: Sequence[str] | None = None, extra: Sequence[Column] = ()) -> DataFrame:
+    """Text columns (all, or those named) cast to the table's types inside the JVM; what does not fit its type becomes null. ``extra`` columns are added."""
     out = []
-    for c in table.columns:
+    for c in table.columns if columns is None else [table.column(n) for n in columns]:
         value, kind = F.col(f"`{c.name}`"), c.spark
         if isinstance(kind, T.BinaryType):
             value = F.when(value.startswith("\\x"), F.unhex(F.substring(value, 3, 1 << 30))).otherwise(F.encode(value, "utf-8"))
@@ -222,11 +314,20 @@ def typed(df: DataFrame, table: TableDef) -> DataFrame:
         elif not isinstance(kind, T.StringType):
             value = value.try_cast(kind)
         out.append(value.alias(c.name))
-    return df.select(*out)
+    return df.select(*out, *extra)
+
+
+#: What an index entry holds: of a split its tables (``kind`` is "split", ``text`` a JSON list), or a DDL statement.
+_INDEX = "n long, idx int, kind string, text string"
 
 
 class Dump:
-    """One or more dump files as a set of tables."""
+    """One or more dump files as a set of tables.
+
+    Planning scans uncompressed files once, in parallel, and notes the tables of every split; files that are read whole
+    are indexed in one pass when the catalog is first asked for. From then on a table is read only from the splits that
+    hold it, and only its statements, and of them only the columns asked for, are decoded.
+    """
 
     def __init__(self, spark: SparkSession, paths: list[str], dialect: str | None = None, split_bytes: int = splits.SPLIT_BYTES) -> None:
         self.spark, self.paths = spark, paths
@@ -236,20 +337,28 @@ class Dump:
         self.splits = splits.plan(spark, paths, self.dialect, split_bytes)
         spark.dataSource.register(SqlDumpSource)
 
-    def statements(self, text: bool = True, kinds: tuple[str, ...] = ()) -> DataFrame:
-        """Every statement (of the ``kinds``, all if none are named): path, start (of its split), idx, kind, table_name, text (or its length in bytes with ``text=False``)."""
-        dialect, parts = self.dialect, self.splits
+    def statements(self, text: bool = True, kinds: tuple[str, ...] = (), whole_copies: bool = False) -> DataFrame:
+        """Every statement (of the ``kinds``, all if none are named): path, start (of its split), idx, kind, table_name, text (or its length in bytes with ``text=False``).
+
+        The partitions, and the rows in each, are in the order of the files and of the statements in them. The data of a
+        COPY may come in several blocks; with ``whole_copies`` each follows its COPY statement, which is then repeated,
+        so that the statements can be written again one by one.
+        """
+        dialect, parts = self.dialect, splits.Splits(self.spark, self.splits)
         schema = STATEMENT_SCHEMA if text else STATEMENT_SCHEMA.replace("text string", "n_rows long, n_bytes long")
+        arrow_types = {"string": pa.string(), "long": pa.int64(), "int": pa.int32()}
+        arrow = pa.schema([(f.split()[0], arrow_types[f.split()[1]]) for f in schema.split(", ")])
 
         def run(batches):
             for batch in batches:
-                for r in batch.to_pylist():
+                for n in batch.column(0).to_pylist():
+                    part = parts[n]
                     block: list[dict] = []
                     held = 0
-                    for s in split_statements(splits.Split(**r), dialect):
-                        if kinds and s.kind not in kinds:
+                    for s in _restarted(split_statements(part, dialect)) if whole_copies else split_statements(part, dialect):
+                        if (kinds and s.kind not in kinds) or (s.index < 0 and not whole_copies):
                             continue
-                        entry = {"path": r["path"], "start": r["start"], "idx": s.index, "kind": s.kind, "table_name": s.table}
+                        entry = {"path": part.path, "start": part.start, "idx": s.index, "kind": s.kind, "table_name": s.table}
                         if text:
                             entry["text"] = _clean(s.text)
                         else:
@@ -263,38 +372,75 @@ class Dump:
                     if block:
                         yield pa.RecordBatch.from_pylist(block, schema=arrow)
 
-        arrow_types = {"string": pa.string(), "long": pa.int64(), "int": pa.int32()}
-        arrow = pa.schema([(f.split()[0], arrow_types[f.split()[1]]) for f in schema.split(", ")])
-        rows = [asdict(s) for s in parts]
-        df = self.spark.createDataFrame([(r["path"], r["start"], r["end"], r["header"]) for r in rows], "path string, start long, end long, header string")
-        return df.repartition(min(len(rows), 10_000)).mapInArrow(run, schema)
+        return parts.ids().mapInArrow(run, schema)
 
     @cached_property
+    def _index(self) -> tuple[Catalog, list[splits.Split]]:
+        """The catalog, and the splits with their tables: one pass over the splits with DDL and over files whose tables are not known yet."""
+        at = [i for i, s in enumerate(self.splits) if s.has_ddl or s.tables is None]
+        dialect, parts = self.dialect, splits.Splits(self.spark, [self.splits[i] for i in at])
+
+        def run(batches):
+            for batch in batches:
+                for n in batch.column(0).to_pylist():
+                    rows, names = [], set()
+                    for s in split_statements(parts[n], dialect):
+                        if s.table:
+                            names.add(s.table.lower())
+                        if s.kind in splits.DDL_KINDS:
+                            rows.append((n, s.index, s.kind, _clean(s.text)))
+                    rows.append((n, -1, "split", json.dumps(sorted(names))))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.string(), pa.string()))], names=["n", "idx", "kind", "text"])
+
+        rows = sorted(parts.ids().mapInArrow(run, _INDEX).collect()) if at else []  # DDL, and one row per split
+        known = list(self.splits)
+        for r in rows:
+            if r.kind == "split":
+                known[at[r.n]] = replace(known[at[r.n]], tables=tuple(json.loads(r.text)))
+        return ddl.build_catalog(r.text for r in rows if r.kind != "split"), known
+
+    @property
     def catalog(self) -> Catalog:
         """From the DDL in all files; only DDL statements come to the driver."""
-        rows = self.statements(kinds=("create_table", "alter_table", "create_index")).select("path", "start", "idx", "text").collect()
-        order = {p: i for i, p in enumerate(self.paths)}
-        return ddl.build_catalog(r.text for r in sorted(rows, key=lambda r: (order[r.path], r.start, r.idx)))
+        return self._index[0]
 
-    def raw(self, name: str) -> DataFrame:
-        """A table with all values as text."""
+    def splits_of(self, name: str) -> list[splits.Split]:
+        """The splits in which statements of a table may begin."""
+        return [s for s in self._index[1] if s.tables is None or any(same_table(t, name) for t in s.tables)]
+
+    def raw(self, name: str, columns: Sequence[str] | None = None) -> DataFrame:
+        """A table (or some of its columns) with all values as text."""
         table = self.catalog.get(name)
         if table is None:
             raise ValueError(f"no table {name} in the dump")
-        return (
-            self.spark.read.format("sqldump")
-            .option("paths", json.dumps(self.paths))
-            .option("dialect", self.dialect)
-            .option("table", table.name)
-            .option("columns", json.dumps([c.name for c in table.columns]))
-            .option("splits", json.dumps([asdict(s) for s in self.splits]))
-            .schema(T.StructType([T.StructField(c.name, T.StringType()) for c in table.columns]))
-            .load()
-        )
+        every = [c.name for c in table.columns]
+        wanted = every if columns is None else [table.column(c).name for c in columns]
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in wanted])
+        parts, dialect, own = splits.Splits(self.spark, self.splits_of(table.name)), self.dialect, table.name
+        if not parts.size:
+            return self.spark.createDataFrame([], schema)
+
+        def run(batches):
+            for batch in batches:
+                for n in batch.column(0).to_pylist():
+                    yield from split_batches(parts[n], dialect, own, every, wanted)
+
+        run.__name__ = f"table_{self.catalog.names().index(table.name)}"
+        return parts.ids().mapInArrow(run, schema)
 
-    def table(self, name: str) -> DataFrame:
-        """A table with the types of its DDL."""
-        return typed(self.raw(name), self.catalog.get(name))
+    def table(self, name: str, columns: Sequence[str] | None = None) -> DataFrame:
+        """A table (or some of its columns) with the types of its DDL; what does not fit its type is null, see :meth:`misfits`."""
+        return typed(self.raw(name, columns), self.catalog.get(name), columns)
+
+    def misfits(self, name: str) -> DataFrame:
+        """Values that do not fit their column's type and are null in :meth:`table`: column_name, n, example (the smallest one)."""
+        table = self.catalog.get(name)
+        raw = self.raw(name)
+        named = [F.col(f"`{c.name}`").alias(f"_raw{i}") for i, c in enumerate(table.columns)]
+        both = typed(raw, table, extra=named)
+        lost = [(c.name, F.when(F.col(f"`{c.name}`").isNull(), F.col(f"_raw{i}"))) for i, c in enumerate(table.columns)]
+        counted = both.agg(*[F.struct(F.lit(c).alias("column_name"), F.count(v).alias("n"), F.min(v).alias("example")).alias(f"x{i}") for i, (c, v) in enumerate(lost)])
+        return counted.select(F.inline(F.array(*[f"x{i}" for i in range(len(lost))]))).where("n > 0")
 
     def key(self, tables: Iterable[str] = ()) -> str:
         """Of the files' paths, sizes and times, the tables and the dialect."""
@@ -302,27 +448,64 @@ class Dump:
         return hashlib.sha256(json.dumps([stamps, sorted(tables), self.dialect]).encode()).hexdigest()[:24]
 
     def cached(self, folder: str | None = None, tables: Iterable[str] = ()) -> dict[str, DataFrame]:
-        """The tables as Parquet in ``folder``, written on first use and read from then on, until a file changes."""
+        """The tables as Parquet in ``folder`` (else in the shared folder's ``cache``), written on first use and read from then on, until a file changes.
+
+        A table counts as there only once its write was committed: a folder without the mark of a finished write is written anew.
+        """
         names = [t.name for t in self.catalog if not list(tables) or any(same_table(t.name, x) for x in tables)]
-        base = f"{folder or staging_path(self.spark, 'cache')}/{self.key(names)}"
+        base = f"{folder or shared_dir(self.spark) + '/dumpquarry/cache'}/{self.key()}"
         out = {}
         for n in names:
             path = f"{base}/{n}"
             schema = self.catalog.get(n).schema
-            try:
-                out[n] = self.spark.read.schema(schema).parquet(path)
-            except Exception:  # noqa: BLE001 - not there yet
+            if not exists(self.spark, f"{path}/_SUCCESS"):
                 self.table(n).write.mode("overwrite").parquet(path)
-                out[n] = self.spark.read.schema(schema).parquet(path)
+            out[n] = self.spark.read.schema(schema).parquet(path)
         return out
 
-    def register(self, tables: Iterable[str] = (), cache: str | None = None) -> list[str]:
-        """Temporary views of the tables, by their bare names."""
-        frames = self.cached(cache, tables) if cache else {t.name: self.table(t.name) for t in self.catalog if not list(tables) or any(same_table(t.name, x) for x in tables)}
+    def register(self, tables: Iterable[str] = (), cache: str | None = None, columns: Mapping[str, Sequence[str]] | None = None) -> list[str]:
+        """Temporary views of the tables (with ``columns``: of some of their columns), by their bare names."""
+        names = [t.name for t in self.catalog if not list(tables) or any(same_table(t.name, x) for x in tables)]
+        frames = self.cached(cache, tables) if cache else {n: self.table(n, (columns or {}).get(n)) for n in names}
         for n, df in frames.items():
             df.createOrReplaceTempView(bare(n))
         return sorted(bare(n) for n in frames)
 
+    def query(self, sql: str, run: Callable[[SparkSession, str], DataFrame] | None = None) -> DataFrame:
+        """SQL over the tables' views. The optimised plan tells the columns it needs of each table, and only these are decoded."""
+        run = run or (lambda spark, text: spark.sql(text))
+        self.register()
+        needed = self.needed(run(self.spark, sql))
+        self.register(tables=list(needed) or (), columns=needed)
+        found = run(self.spark, sql)
+        self.register(tables=list(needed) or ())
+        return found
+
+    def needed(self, df: DataFrame) -> dict[str, list[str]]:
+        """The columns that a plan over :meth:`raw` tables refers to, by table; the first one where only rows are counted."""
+        plan = df._jdf.queryExecution().optimizedPlan()
+        names = self.catalog.names()
+        used: set[int] = set()
+        leaves: list[tuple[str, list[tuple[int, str]]]] = []
+
+        def attributes(seq) -> list[tuple[int, str]]:
+            return [(a.exprId().id(), a.name()) for a in (seq.apply(i) for i in range(seq.size()))]
+
+        def walk(node) -> None:
+            if node.nodeName() == "MapInArrow" and (m := re.match(r"table_(\d+)\(", node.productElement(0).toString())):
+                leaves.append((names[int(m[1])], attributes(node.output())))
+                return
+            used.update(i for i, _ in attributes(node.references().toSeq()))
+            for i in range(node.children().size()):
+                walk(node.children().apply(i))
+
+        used.update(i for i, _ in attributes(plan.output()))
+        walk(plan)
+        out: dict[str, set[str]] = {}
+        for name, columns in leaves:
+            out.setdefault(name, set()).update(c for i, c in columns if i in used)
+        return {n: [c.name for c in self.catalog.get(n).columns if c.name in cs] or [self.catalog.get(n).columns[0].name] for n, cs in out.items()}
+
 
 def read_dump(spark: SparkSession, paths: str | Iterable[str], dialect: str | None = None, split_bytes: int = splits.SPLIT_BYTES) -> Dump:
     """Dump files by path, glob or folder; the first file's head tells the dialect unless it is given."""

@@ -429,6 +429,19 @@ def insert_columns(statement: str, dialect: str) -> tuple[list[str] | None, list
     return [unquote(c) for c in re.findall(IDENT, head[2])] if head[2] else None, [values[i::width] for i in range(width)]
 
 
+def insert_head(statement: str) -> tuple[list[str] | None, int] | None:
+    """Column list (None if not given) of an INSERT ... VALUES and where its values begin."""
+    head = _INTO.match(statement, _LEADING.match(statement).end())
+    if not head:
+        return None
+    return [unquote(c) for c in re.findall(IDENT, head[2])] if head[2] else None, head.end()
+
+
+def unbackslashed(text: str) -> str:
+    """A MySQL literal's content without its backslash escapes."""
+    return _BACKSLASHED.sub(_unescaped, text)
+
+
 _COPY_ESCAPE = re.compile(r"\\(x[0-9A-Fa-f]{1,2}|[0-7]{1,3}|.)", re.S)
 _COPY_CHARS = {"b": "\b", "f": "\f", "n": "\n", "r": "\r", "t": "\t", "v": "\v"}
 

@@ -237,3 +237,45 @@ def test_line_ended_batches_are_cut(spark, tmp_path):
         parts = splits.plan(spark, [path], "mssql", size)
         assert len(parts) > 2
         assert sorted(int(a) for p in parts for a, _ in split_rows(p, "mssql", "t", ["id", "v"])) == list(range(100))
+
+
+@pytest.mark.parametrize(("text", "dialect"), [(MYSQL, "mysql"), (POSTGRES, "postgres"), (MSSQL, "mssql")])
+def test_splits_know_their_tables(spark, tmp_path, text, dialect):
+    lines = "".join(f"INSERT [dbo].[late{i}] ([id]) VALUES ({i})\n" for i in range(40)) if dialect == "mssql" else ""
+    path = write(tmp_path, "k.sql", text * 4 + lines + text)
+    whole = [(s.kind, s.table, s.text) for s in split_statements(splits.Split(path, 0, -1), dialect) if s.kind != "copy_data"]
+    for size in (90, 250, 700):
+        parts = splits.plan(spark, [path], dialect, size)
+        seen = [[s for s in split_statements(p, dialect)] for p in parts]
+        assert [(s.kind, s.table, s.text) for part in seen for s in part if s.kind != "copy_data" and s.index >= 0] == whole
+        for p, part in zip(parts, seen):
+            assert {s.table.lower() for s in part if s.table} <= set(p.tables)
+            assert p.has_ddl or not any(s.kind in splits.DDL_KINDS for s in part)
+        assert dialect == "mssql" or any(len(p.tables) < 3 for p in parts)  # lines of batches are looked at far ahead
+
+
+def test_merge_repeats_copies_and_keeps_order(spark, tmp_path):
+    from dumpquarry.operators import statements
+
+    rows = [(i, f"text {i} " + "x" * 300) for i in range(9000)]
+    df = spark.createDataFrame(rows, "id long, t string").coalesce(1)
+    path = sqlwriter.write_dump({"a": df.limit(10), "b": df, "c": df.limit(5)}, str(tmp_path / "d.sql"), "postgres", chunk=100_000, copy=True)
+    d = read_dump(spark, path, "postgres", 200_000)
+    assert len(d.splits) >= 8
+    merged = read_dump(spark, statements.merge([d], str(tmp_path / "m.sql"), "postgres"), "postgres", 300_000)
+    assert sorted(map(tuple, merged.table("b").collect())) == rows and merged.table("c").count() == 5
+    found = [(r.kind, r.table_name) for r in merged.statements().collect() if r.table_name]
+    assert list(dict.fromkeys(found)) == [(k, t) for t in "abc" for k in ("create_table", "copy", "copy_data")]
+    names = [r.table_name for r in statements.ordered_statements(d, reverse=True).where("phase = 1").collect()]
+    assert names == sorted(names, key=statements.order(d.catalog, True).index)
+
+
+def test_only_needed_columns_are_read(spark, tmp_path):
+    path = sqlwriter.write_dump({"t": spark.range(50).selectExpr("id", "id * 2 as b", "'x' as c", "id % 3 as g"), "u": spark.range(5).selectExpr("id as k", "'y' as z")}, str(tmp_path / "q.sql"), "mysql")
+    d = read_dump(spark, path, "mysql")
+    sql = "select g, sum(b) as s, count(u.k) as n from t join u on t.g = u.k group by g"
+    d.register()
+    assert d.needed(spark.sql(sql)) == {"t": ["b", "g"], "u": ["k"]}
+    assert d.needed(spark.sql("select count(*) from u")) == {"u": ["k"]}
+    assert sorted(map(tuple, d.query(sql).collect())) == [(0, 816, 17), (1, 850, 17), (2, 784, 16)]
+    assert d.table("t", ["c", "id"]).columns == ["c", "id"]
