@@ -2,8 +2,10 @@
 
 Method: best-first search over encode, decode and unescape operations. A state is a text; its cost is the
 implausibility of its characters where they stand; states seen before are recognised by hash, and the cheapest open
-state is expanded next. A stretch of text is a case if a cheaper text can be reached from it, or if it holds
-characters that only a lossy decoding leaves behind.
+state is expanded next. A stretch of text is a case if, and only if, the search reaches a clearly cheaper text. The
+costs of letters beside each other come from a trained model (:mod:`dumpquarry.llm.letters`), those of other
+characters from their Unicode categories. Characters that only a lossy decoding leaves behind are undone by an
+operation of their own, which drops them: it tells the case, but what was lost is not written anew.
 """
 
 from __future__ import annotations
@@ -11,163 +13,198 @@ from __future__ import annotations
 import heapq
 import html
 import re
+import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from dumpquarry.llm.letters import VOCABULARIES, Letters, letters, script
+
 #: Encodings with which text may have been decoded by mistake, and those it may have been written in.
 WRONG = ("cp1252", "mac_roman", "cp437", "cp850", "cp1251", "koi8_r", "cp866", "cp1250", "iso8859_2", "cp1254", "iso8859_15", "gbk", "cp932", "big5", "euc_kr")
 WRITTEN = ("utf_8", "cp1252", "cp1251", "koi8_r", "cp866", "iso8859_5", "cp1250", "iso8859_2", "cp1254", "mac_roman", "cp437", "cp850", "cp932", "euc_jp", "gbk")
-#: Letters beside A to Z of the languages in use.
-ALPHABETS = {
-    "de": "äöüß",
-    "fr": "àâæçéèêëîïôœùûüÿ",
-    "es": "áéíóúñü",
-    "pt": "áâãàçéêíóôõúü",
-    "pl": "ąćęłńóśźż",
-    "tr": "çğıöşüâîû",
-}
-_SETS = [frozenset(a + a.upper() + ("İ" if k == "tr" else "")) for k, a in ALPHABETS.items()]
-_KNOWN = frozenset().union(*_SETS)
-_RUSSIAN = frozenset("абвгдеёжзийклмнопрстуфхцчшщъыьэюя" + "абвгдеёжзийклмнопрстуфхцчшщъыьэюя".upper())
-#: Marks that properly stand right before a word or number, and right after one.
-_BEFORE = frozenset("“„‘«‹¿¡§€£¥–—…±×©°¬​﻿・（「『【※№’'")
-_AFTER = frozenset("”“’‘»›…–—°€™®©ªº²³¹‰%·×​‍﻿・）」』】′″")
-_JAPANESE = re.compile(r"[　-ヿ！-ﾟ一-鿿]+")
+_TWO_BYTES = ("gbk", "cp932", "big5", "euc_kr", "euc_jp")
+#: A text is taken only if it is cheaper by so much, after the prices of the operations, and leaves at most this share of the cost.
+GAIN, SHARE_LEFT = 0.9, 0.6
+#: Characters that only a lossy decoding leaves behind: C1 controls, the replacement character, private use.
+_LOST = re.compile(r"[\x80-\x84\x86-\x9f\ufffd\ue000-\uf8ff]")
 _CHUNK = re.compile(r"(?:[A-Za-z]|[^\x00-\x7f\s])+")
 _OTHER = re.compile(r"[^\x00-\x7f]")
-_LOST = re.compile(r"[\x80-\x84\x86-\x9f�-]")
+#: First bytes of UTF-8 sequences as the common single-byte encodings show them.
 _LEADS = frozenset("âÂÃÅÐÑÄãðƒ")
-_ENGLISH = re.compile(r"\b(?:the|of|is|was|with|from|why|don|before|after|see|each|which|note|it|we)\b", re.I)
-#: What a wrongly decoded apostrophe looks like in English contractions and genitives.
-_FOREIGN_MARK = re.compile("[A-Za-z](?:[^\\x00-\\x7f’‘" + "".join(sorted(_KNOWN)) + "]|[íÕÆ´Òìî])(?:s|t|ve|re|ll|d|m)\\b")
-
-_VOWELS = "аеёиоуыэюя"
-_CYRILLIC_WORD = re.compile("[а-яё]+")
-#: Letters where Russian has none: й after a consonant, hard and soft signs and ы in first place, ъ before other letters than е ё ю я.
-_UNRUSSIAN = re.compile(f"(?<=[^{_VOWELS}\\W])й|\\b[ъьы]|ъ(?![еёюя])|(?<=[{_VOWELS}])ь")
+#: Characters that show with others as one, and are no letters of a word.
+_JOINERS = frozenset("\u00ad\u200b\u200c\u200d\ufeff\ufe0f\u2060")
+#: Scripts written without spaces, beside which words of others may stand.
+_UNSPACED = frozenset(("KANA", "CJK", "THAI", "LAO", "KHMER", "MYANMAR", "TIBETAN", "HANGUL"))
 
 _MASKS = [
     re.compile(r"[“\"„«‘`'][^\x00-\x7f\s]{1,4}[”\"“»’`']"),  # cited between quotation marks or as code
-    re.compile(r"[^\x00-\x7f\s]{2,4}(?= instead of )"),
-    re.compile(r"(?<=[Ss]ign )�|(?<=[Ss]ymbol )�|(?<=[Cc]haracter )�"),
+    re.compile(r"[^\x00-\x7f\s]{1,4}(?= instead of )"),
+    re.compile(r"(?<=[Ss]ign )\ufffd|(?<=[Ss]ymbol )\ufffd|(?<=[Cc]haracter )\ufffd"),
 ]
 _SEGMENT = re.compile(r"[^\n]*?(?:[.!?:;]\s+|\n|\Z)")
-
-
-def _chunk_cost(chunk: str) -> float:
+_CLITIC = re.compile("([A-Za-z])([^\\x00-\\x7f’‘])(?=(?:s|t|ve|re|ll|d|m)\\b)")
+
+
+@lru_cache(100_000)
+def _kind(c: str) -> str:
+    """letter, mark (joins the letter before), open and close (stand before and after words), symbol, box, other."""
+    category = unicodedata.category(c)
+    if c in _JOINERS or category[0] == "M" or category in ("Lm", "Cf"):
+        return "mark"
+    if 0x2500 <= ord(c) < 0x25A0:
+        return "box"
+    if category in ("Ll", "Lu", "Lt", "Lo") and c not in "ªº":
+        return "letter"
+    if category == "Nd":
+        return "picture"
+    if category in ("Pi", "Ps", "Sc") or c in "¿¡§№":
+        return "open"
+    if category in ("Pf", "Pe", "Pd", "No") or c in "ªº…·‰′″°™®©":
+        return "close"
+    if ord(c) >= 0x1F000 or 0x2600 <= ord(c) < 0x27C0 or category == "Nl" or 0x2150 <= ord(c) < 0x2190:
+        return "picture"
+    return "symbol" if category[0] in "SP" else "other"
+
+
+_AT_BOTH_ENDS = frozenset("”“’‘»«„€£¥–—…±×°·")
+
+
+@lru_cache(200_000)
+def _chunk_cost(chunk: str, vocabularies: tuple[str, ...] = VOCABULARIES) -> float:
     """Implausibility of one unbroken run of letters and other characters beyond ASCII."""
+    model = letters(vocabularies)
     cost = sum(1.0 if c < "\xa0" else 3.0 for c in _LOST.findall(chunk))
+    chunk = _LOST.sub("", chunk)
     a, b = 0, len(chunk)
-    while a < b and chunk[a] in _BEFORE:
+    while a < b and (chunk[a] in _AT_BOTH_ENDS or (not chunk[a].isascii() and _kind(chunk[a]) in ("open", "mark", "picture") and chunk[a] != "\xad") or chunk[a] in "×±©°¬"):
         a += 1
-    while b > a and chunk[b - 1] in _AFTER:
+    while b > a and (chunk[b - 1] in _AT_BOTH_ENDS or (not chunk[b - 1].isascii() and _kind(chunk[b - 1]) in ("close", "mark", "picture", "open") and chunk[b - 1] != "\xad" and not (_kind(chunk[b - 1]) == "open" and unicodedata.category(chunk[b - 1]) != "Sc"))):
         b -= 1
     inner = chunk[a:b]
+    if a and inner and chunk[a - 1] in "–—" and not inner[0].isascii():
+        cost += 1
+    # a mark of its own kind among edge characters: two and more in a row are no typography
+    if a + len(chunk) - b >= 3 and not all(unicodedata.category(c) in ("Ps", "Pe", "Mn", "Cf", "So", "Sk", "Lm") or c in "…–—·" for c in chunk[:a] + chunk[b:]):
+        cost += 0.5 * (a + len(chunk) - b - 2)
     if not inner or inner.isascii():
         return cost
-    if a and chunk[a - 1] in "–—" and not inner[0].isascii():
-        cost += 1
     if len(inner) == 1:
-        return cost + (1.5 if inner in "âÂÃ" else 0)
-    if _JAPANESE.search(inner):
-        # Japanese is written without spaces, so words of other scripts may adjoin it
-        cost += _rare_ideographs(inner) + sum(0xFF61 <= ord(c) <= 0xFF9F for c in inner)
-        return cost + sum(_chunk_cost(part) for part in _JAPANESE.split(_LOST.sub("", inner)) if part and not part.isascii())
-    latin = cyrillic = 0
-    letters: set[str] = set()
-    before = ""
-    run = 0
-    for c in inner:
-        o = ord(c)
-        if o < 0x80:
-            latin += 1
-            run = 0
-        elif c in _KNOWN:
-            latin += 1
-            letters.add(c)
-            run = run + 1 if o < 0x100 else 0
-            if run >= 3:
-                cost += 1
-            if c.isupper() and before.islower():
-                cost += 2
-        elif c in _RUSSIAN:
-            cyrillic += 1
-            if c.isupper() and before.islower():
-                cost += 2
-        elif 0x300 <= o < 0x370 or o in (0x200B, 0x200C, 0x200D, 0xFEFF, 0xAD, 0xFE0F):
-            cost += 1 if o == 0xAD and before in _LEADS else 0
-        elif 0xC0 <= o < 0x250 and c.isalpha():
-            latin += 1
-            cost += 0.0 if before == "" and inner[1:].isascii() and c.isupper() else 1.5
-        elif c in "’‘–—…“”„":
-            if before in _LEADS or (c in "–—" and before and not before.isascii()):
-                cost += 2
-            run = 0
-        elif 0x400 <= o < 0x530:
-            cost += 2
-        elif 0x590 <= o < 0x2000 or o >= 0x1F000:
-            pass  # another script, or pictures
-        elif 0x2500 <= o < 0x25A0:
-            cost += 2 if latin or cyrillic or any(x.isalpha() for x in inner) else 0.0
-        elif o in (0xFB01, 0xFB02) or 0x2150 <= o < 0x2190:
-            pass
-        elif before == "" and inner[1:].isascii():
-            cost += 0.0 if c in "†‡•→" else 1
-        else:
-            cost += 1.5  # a symbol, or a letter of yet another script, within a word
-        before = c
-    if latin and cyrillic:
-        cost += 1.5 * min(latin, cyrillic)
-    if letters and not any(letters <= s for s in _SETS):
-        cost += 2
-    if inner[-1] in "âÂÃ" and not (inner.isupper() and len(inner) > 2):
-        cost += 1.5
-    return cost
+        return cost + (1.5 if inner in "âÂÃ" and chunk != inner else 1.0 if inner in "ÂÃ" else 0.0)
+    return cost + _inner_cost(inner, model)
 
 
-def _russian_cost(text: str) -> float:
-    """Implausibility of Cyrillic text as Russian: letters in impossible places, and too few vowels."""
-    words = _CYRILLIC_WORD.findall(text)
-    letters = "".join(words)
-    if not letters:
-        return 0.0
-    total = float(sum(len(_UNRUSSIAN.findall(w)) for w in words))
-    share = sum(letters.count(v) for v in _VOWELS) / len(letters)
-    if len(letters) >= 12 and share < 0.3:
-        total += 0.2 * len(letters)
-    return total
+_STRAIGHT = frozenset("─│━┃═║┄┆╌")
 
 
-def _rare_ideographs(text: str) -> float:
-    """Ideographs outside the first level of the Japanese standard (rows 16 to 47) are rare in text."""
+def _inner_cost(inner: str, model: Letters) -> float:
+    """The cost of what is left of a run without the characters at its edges that adjoin words."""
     cost = 0.0
-    for c in text:
-        if "一" <= c <= "鿿":
-            try:
-                row = c.encode("euc_jp")[0] - 0xA0
-            except UnicodeEncodeError:
-                row = 99
-            cost += 0.0 if row < 48 else 1.0
+    before, low, kind = "", "", ""  # the character before, in lower case, and its kind
+    seen: dict[str, int] = {}
+    named = inner[1:].isascii() and inner[0].isupper()  # a capital before plain letters: a name
+    last = len(inner) - 1
+    for i, c in enumerate(inner):
+        this = "letter" if c.isascii() else _kind(c)
+        if this == "mark":
+            if c == "\xad" and (before in _LEADS or not before.isalpha() or i == last):
+                cost += 1
+            continue
+        lower = c.lower()[:1] if this == "letter" else c
+        if this == "letter":
+            of = "LATIN" if c.isascii() else script(c)
+            seen[of] = seen.get(of, 0) + 1
+            if kind == "letter" and not (c.isascii() and before.isascii()):
+                other = "LATIN" if before.isascii() else script(before)
+                if (other == of or (other in _UNSPACED and of in _UNSPACED)) and not named:
+                    if lower in model.known:
+                        cost += model.neighbour(lower, low, False)
+                    if low in model.known:
+                        cost += model.neighbour(low, lower, True)
+                if c.isupper() and before.islower():
+                    cost += 2
+            elif kind == "" and not c.isascii() and i == 0 and not named and lower in model.known and of not in _UNSPACED:
+                cost += model.neighbour(lower, " ", False)
+            if not c.isascii() and not named and model.strange(lower):
+                cost += 0.5 if of == "HANGUL" else 1.0
+            if 0xFF61 <= ord(c) <= 0xFF9F:
+                cost += 1
+        elif this == "box":
+            if kind == "box":
+                cost += 0.0 if c == before or c in _STRAIGHT or before in _STRAIGHT else 0.7
+            elif kind == "letter" or inner[i + 1 : i + 2].isalpha():
+                cost += 2
+        elif this in ("open", "close") and c in "’‘–—…“”„·" and kind == "letter" and i < last:
+            if before in _LEADS or (c in "–—" and not before.isascii()):
+                cost += 2
+            elif c == "’":  # an ending of up to three letters, or a short word before a vowel
+                cost += 0.0 if last - i <= 3 or i <= 3 else 0.4
+            elif c == "·":
+                cost += 0.0 if before in "lL" else 1
+            else:
+                cost += {"“": 1, "”": 1, "„": 1, "‘": 0.5, "—": 0.3, "–": 0.3}.get(c, 0.0)
+        elif this != "picture":
+            if before == "" and inner[1:].isascii():
+                cost += 0.0 if c in "†‡•→←" else 1
+            else:
+                cost += 1.5  # a symbol, or a mark that stands within a word
+        before, low, kind = c, lower, this
+    names = {s for s in seen if s and s not in _UNSPACED and s != "LATIN"}
+    if "LATIN" in seen and names:
+        cost += 1.5 * min(seen["LATIN"], sum(seen[s] for s in names))
+    if len(names) > 1:
+        cost += 1.5 * min(seen[s] for s in names)
+    if inner[-1] in "ÂÃ" and last and not (inner.isupper() and len(inner) > 2):
+        cost += 1.5
     return cost
 
 
-def cost(text: str) -> float:
-    """Implausibility of a text's characters; 0 for proper text, also with rare characters used properly. Cited sequences are left out."""
+def cost(text: str, vocabularies: tuple[str, ...] = VOCABULARIES) -> float:
+    """Implausibility of a text's characters; near 0 for proper text, also with rare characters used properly. Cited sequences are left out."""
     if text.isascii():
         return 0.0
     for mask in _MASKS:
         text = mask.sub(" ", text)
-    total = sum(_chunk_cost(m[0]) for m in _CHUNK.finditer(text) if not m[0].isascii())
+    total = 0.0
+    for m in _CHUNK.finditer(text):
+        if not m[0].isascii():
+            total += _chunk_cost(m[0], vocabularies)
     if "Â\xa0" in text or "Ã\xa0" in text:
         total += 3 * (text.count("Â\xa0") + text.count("Ã\xa0"))
-    total += _russian_cost(text.lower())
-    if _ENGLISH.search(text):
-        total += 1.5 * len(_FOREIGN_MARK.findall(text))
-    return total
+    total += 0.8 * len(_GAP.findall(text))
+    return total + 1.5 * _clitics(text)
+
+
+#: A no-break space within what seems to be a word.
+_GAP = re.compile("(?<=[a-z])\\xa0(?=[a-z])")
+
+
+#: What the bytes of an apostrophe show as where they are read in a wrong single-byte encoding.
+def _apostrophes() -> frozenset[str]:
+    out = set()
+    for written in ("cp1252", "mac_roman"):
+        byte = "’".encode(written)
+        for wrong in WRONG:
+            if wrong not in _TWO_BYTES:
+                try:
+                    out.add(byte.decode(wrong))
+                except UnicodeDecodeError:
+                    pass
+    return frozenset(out - {"’", "‘"})
+
+
+_APOSTROPHES = _apostrophes()
+_ENGLISH = re.compile(r"\b(?:the|of|is|was|with|from|why|don|before|after|see|each|which|note|it|we)\b", re.I)
+
+
+def _clitics(text: str) -> int:
+    """Wrong apostrophes between a word and an English ending, in a text with English function words."""
+    found = sum(m[2] in _APOSTROPHES or not m[2].isalpha() for m in _CLITIC.finditer(text))
+    return found if found and _ENGLISH.search(text) else 0
 
 
 def _bytes(text: str, codec: str) -> bytes | None:
@@ -176,7 +213,7 @@ def _bytes(text: str, codec: str) -> bytes | None:
         return text.encode(codec)
     except UnicodeEncodeError:
         pass
-    if codec in ("gbk", "cp932", "big5", "euc_kr"):
+    if codec in _TWO_BYTES:
         return None
     out = bytearray()
     for c in text:
@@ -190,6 +227,36 @@ def _bytes(text: str, codec: str) -> bytes | None:
     return bytes(out)
 
 
+def _fitting(codec: str) -> re.Pattern:
+    """Runs of the characters that a single-byte encoding holds, with some beyond ASCII among them."""
+    held = "".join(c for b in range(0x80, 0x100) if (c := bytes([b]).decode(codec, "ignore") or chr(b)))
+    other = re.escape(held + "".join(map(chr, range(0x80, 0xA0))))
+    return re.compile(f"[\\x00-\\x7f]*[{other}](?:[\\x00-\\x7f]*[{other}])*[\\x00-\\x7f]*")
+
+
+_FITTING = {c: _fitting(c) for c in WRONG if c not in _TWO_BYTES}
+
+
+def _reread(text: str, codec: str, written: str) -> str:
+    """The text read in the encoding ``written`` instead of ``codec``: as a whole, else stretch by stretch where it fits."""
+    data = _bytes(text, codec)
+    if data is not None:
+        try:
+            return data.decode(written)
+        except UnicodeDecodeError:
+            return text
+    if codec in _TWO_BYTES:
+        return text
+
+    def run(m: re.Match) -> str:
+        try:
+            return (_bytes(m[0], codec) or b"\xff\xff").decode(written)
+        except UnicodeDecodeError:
+            return m[0]
+
+    return _FITTING[codec].sub(run, text)
+
+
 _UTF8 = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
 
 
@@ -204,7 +271,7 @@ def _as_utf8(text: str, codec: str) -> str:
             return data.decode()
         except UnicodeDecodeError:
             pass
-        if codec in ("gbk", "cp932", "big5", "euc_kr"):
+        if codec in _TWO_BYTES:
             return data.decode("utf_8", "replace") if len(data) > 5 else m[0]
         out, at = [], 0
         for seq in _UTF8.finditer(data):
@@ -239,51 +306,103 @@ def moves(text: str) -> Iterator[tuple[str, str]]:
             yield f"{codec}>utf_8", after
         elif codec in _ROMAN and (after := _as_utf8(_recased(text), codec)) != _recased(text):
             yield f"{codec}>recased>utf_8", after
-        data = _bytes(text, codec)
-        if data is None:
+        if codec in _TWO_BYTES and _bytes(text, codec) is None:
             continue
         for written in WRITTEN:
-            if written not in ("utf_8", codec):
-                try:
-                    yield f"{codec}>{written}", data.decode(written)
-                except UnicodeDecodeError:
-                    pass
+            if written not in ("utf_8", codec) and (after := _reread(text, codec, written)) != text:
+                yield f"{codec}>{written}", after
     if "&" in text and (after := html.unescape(text)) != text:
         yield "unescape", after
+    if (after := _without_lost(text)) != text:
+        yield "lost", after
+
+
+def _without_lost(text: str) -> str:
+    """The text without what a lossy decoding left behind, but for such signs as are cited."""
+    for mask in _MASKS:
+        if mask.search(text):
+            return "".join(part if i % 2 else _LOST.sub("", part) for i, part in enumerate(re.split(f"((?:{'|'.join(m.pattern for m in _MASKS)}))", text)))
+    return _LOST.sub("", text)
 
 
 def _price(operation: str) -> float:
     """Undoing a wrong decoding of UTF-8 is by far the commonest repair; conversions into two-byte encodings are the rarest."""
     if ">recased>" in operation:
         return 0.2
-    if operation.endswith("utf_8") or operation == "unescape":
+    if operation.endswith("utf_8") or operation in ("unescape", "lost"):
         return 0.01
-    return 1.2 if any(x in operation for x in ("gbk", "cp932", "big5", "euc")) else 0.3
+    return 1.2 if any(x in operation for x in _TWO_BYTES) else 0.3
+
 
+#: Marks into which letters turn where a text's typography was read wrongly.
+_TYPOGRAPHY = frozenset("“”‘’–—…•«»„°€™©®§¿¡")
 
-def search(text: str, depth: int = 3, expand: int = 8) -> tuple[str, float, tuple[str, ...]]:
-    """The cheapest text reachable, its cost and the operations that lead to it. Ends at the first text of cost 0, or after ``expand`` states."""
-    start = cost(text)
+
+def _toll(operation: str, before: str, after: str, model: Letters) -> float:
+    """What an operation costs beyond its price for what it does to this text: little evidence, letters that become no letters, or rarer ones."""
+    if operation in ("unescape", "lost"):
+        return 0.0
+    wrong, _, written = operation.partition(">")
+    if wrong in _TWO_BYTES:
+        return 1.5 if sum(c >= "\x80" for c in after) < 4 else 0.0
+    if written.endswith("utf_8") or len(before) != len(after):
+        return 0.0
+    toll, changed, gained = 0.0, 0, 0.0
+    cyrillic = 0
+    for i, (x, y) in enumerate(zip(before, after)):
+        if x == y:
+            continue
+        changed += 1
+        if x.isalpha():
+            if not y.isalpha():
+                toll += 0.25 if y in _TYPOGRAPHY else 1.0
+                continue
+            around = [(t[i - 1].lower() if i and t[i - 1].isalpha() else "", t[i + 1].lower() if i + 1 < len(t) and t[i + 1].isalpha() else "") for t in (before, after)]
+            gained += model.bits(x.lower()[:1], *around[0]) - model.bits(y.lower()[:1], *around[1])
+            cyrillic += script(x) == script(y) == "CYRILLIC"
+    if gained < 0:
+        toll += min(3.0, -gained / 4)
+    if 0 < cyrillic < 5:
+        toll += 1.5
+    return toll
+
+
+def search(text: str, vocabularies: tuple[str, ...] = VOCABULARIES) -> tuple[str, float, tuple[str, ...]]:
+    """The cheapest text reachable, its cost and the operations that lead to it; the text itself if none is clearly cheaper.
+
+    States are expanded from the cheapest on, until none is left that could lead to a text cheaper than the best one by
+    :data:`GAIN`: a path's own price counts, and an operation that makes a text much dearer is not followed.
+    """
+    start = cost(text, vocabularies)
+    model = letters(vocabularies)
     best = (start, text, ())
-    heap = [(start, 0, text, ())]
+    heap = [(start, 0, text, (), 0.0)]
     visited = {hash(text)}
+    lost = len(_LOST.findall(text))
     n = 0
-    while heap and expand and best[0] > 0:
-        _, _, at, path = heapq.heappop(heap)
-        here = cost(at)
-        expand -= 1
+    while heap:
+        at_cost, _, at, path, paid = heapq.heappop(heap)
+        if best[0] - paid < GAIN or (path and at_cost > 2 * start + 6):
+            continue
+        here = cost(at, vocabularies)
         for name, after in moves(at):
             if (h := hash(after)) in visited:
                 continue
             visited.add(h)
-            there = cost(after) + sum(map(_price, (*path, name)))
-            if there < best[0] - 0.5:
-                best = (there, after, (*path, name))
-                if there < 0.1:
+            if name == "lost" and len(_LOST.findall(at)) > lost:
+                continue  # only what was lost before the search began may be dropped
+            there = cost(after, vocabularies)
+            total = there + paid + _price(name)
+            if total < best[0] and start - total >= GAIN:
+                total += _toll(name, at, after, model)
+            if total < best[0] and start - total >= GAIN and total <= SHARE_LEFT * start:
+                best = (total, after, (*path, name))
+                if there == 0 and name.endswith("utf_8"):
                     return best[1], best[0], best[2]
-            if len(path) + 1 < depth and there < 2 * here + 6:
+            # only an operation that leaves something to repair, and not more than before by far, leads on
+            if 0 < there < 1.5 * here + 3 and (name.endswith("utf_8") or name in ("unescape", "lost") or there < here):
                 n += 1
-                heapq.heappush(heap, (0.3 * there if name.endswith("utf_8") else there, n, after, (*path, name)))
+                heapq.heappush(heap, (0.3 * there if name.endswith("utf_8") else there, n, after, (*path, name), paid + _price(name)))
     return best[1], best[0], best[2]
 
 
@@ -299,20 +418,16 @@ def apply(text: str, path: tuple[str, ...]) -> str | None:
 
 def moves_of(text: str, name: str) -> Iterator[tuple[str, str]]:
     """The operation of that name, if it applies."""
-    if name == "unescape":
-        yield name, html.unescape(text)
+    if name in ("unescape", "lost"):
+        yield name, html.unescape(text) if name == "unescape" else _without_lost(text)
         return
     codec, *recased, written = name.split(">")
     text = _recased(text) if recased else text
     if written == "utf_8":
         yield name, _as_utf8(text, codec)
         return
-    data = _bytes(text, codec)
-    if data is not None:
-        try:
-            yield name, data.decode(written)
-        except UnicodeDecodeError:
-            pass
+    if (after := _reread(text, codec, written)) != text:
+        yield name, after
 
 
 def segments(text: str) -> list[str]:
@@ -320,58 +435,60 @@ def segments(text: str) -> list[str]:
     return [m[0] for m in _SEGMENT.finditer(text) if m[0]]
 
 
-def examine(text: str | None, restore: bool) -> tuple[bool, str | None, str]:
+def examine(text: str | None, restore: bool, vocabularies: tuple[str, ...] = VOCABULARIES) -> tuple[bool, str | None, str]:
     """Whether the text holds wrongly decoded characters, the restored text, and the operations used.
 
-    Without ``restore``, the first case ends the work and the text is not rebuilt.
+    Every stretch that is not pure ASCII, or holds an entity, is a start of the search. Without ``restore``, the first
+    case ends the work and the text is not rebuilt.
     """
-    if not text or text.isascii():
+    if not text or (text.isascii() and not _ENTITY.search(text)):
         return False, text, ""
     found, out, used = False, [], []
     known: tuple[str, ...] = ()
     for part in segments(text):
-        before = cost(part)
-        if before > 0:
-            after, left, path = part, before, ()
-            if known and (again := apply(part, known)) is not None and cost(again) == 0:
-                after, left, path = again, 0.0, known
+        begins = part
+        if _ENTITY.search(part) and cost(html.unescape(part), vocabularies) > 0:
+            begins = html.unescape(part)  # what is escaped and wrong at once is judged by what it shows
+        before = 0.0 if begins.isascii() else cost(begins, vocabularies)
+        if before >= GAIN:
+            path: tuple[str, ...] = ()
+            after = part
+            if known and (again := apply(begins, known)) is not None and again != begins and cost(again, vocabularies) == 0:
+                after, path = again, known
             else:
-                after, left, path = search(part)
-            if path or _LOST.search(_masked(part)) or before >= 1.5:
+                after, _, path = search(begins, vocabularies)
+            if path:
                 found = True
                 if not restore:
                     return True, None, ""
-            if path:
                 known = path
                 if " ".join(path) not in used:
                     used.append(" ".join(path))
-            part = after
+                part = apply(begins, tuple(p for p in path if p != "lost")) if "lost" in path else after
+                part = after if part is None else part
         out.append(part)
     return found, "".join(out), "; ".join(used)
 
 
-def _masked(text: str) -> str:
-    for mask in _MASKS:
-        text = mask.sub(" ", text)
-    return text
+_ENTITY = re.compile(r"&(?:#\d{2,6}|#x[0-9A-Fa-f]{2,5}|[A-Za-z]{2,8}\d?);")
 
 
-def garbled(rows: DataFrame, key: str = "doc_id", text: str = "text", restore: bool = False) -> DataFrame:
+def garbled(rows: DataFrame, key: str = "doc_id", text: str = "text", restore: bool = False, vocabularies: tuple[str, ...] = VOCABULARIES) -> DataFrame:
     """The rows whose text holds wrongly decoded characters: the key; with ``restore`` also ``restored`` and ``operations``.
 
-    restored is the cheapest text reached, stretch by stretch; what was lost stays as it is. Defined results: null,
-    empty and pure ASCII texts are no cases, nor are texts that only cite garbled sequences or use rare characters
-    properly; texts are examined whole; repeated rows are judged each, equal results come out once; other columns are
-    ignored; an empty table gives no rows.
+    restored is the cheapest text reached, stretch by stretch; what was lost stays as it is. Defined results: null and
+    empty texts and those of ASCII without entities are no cases, nor are texts that only cite garbled sequences or use
+    rare characters properly; texts are examined whole; repeated rows are judged each, equal results come out once;
+    other columns are ignored; an empty table gives no rows.
     """
-    kept = rows.select(key, F.col(text).alias("_text")).where(F.col("_text").rlike(r"[^\x00-\x7F]"))
+    kept = rows.select(key, F.col(text).alias("_text")).where(F.col("_text").rlike(r"[^\x00-\x7F]|&(?:#|[A-Za-z]{2,8}\d?;)"))
     schema = kept.select(key).schema
     if restore:
         schema = schema.add("restored", T.StringType()).add("operations", T.StringType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [examine(t.as_py(), restore) for t in batch.column("_text")]
+            found = [examine(t.as_py(), restore, vocabularies) for t in batch.column("_text")]
             at = [i for i, f in enumerate(found) if f[0]]
             arrays = [batch.column(key).take(pa.array(at, pa.int64()))]
             if restore:
