@@ -67,6 +67,24 @@ def _rows(c: str) -> Iterator[tuple[int, int, int]]:
             continue
 
 
+#: The letters beside A to Z of languages in Latin script, each alphabet with the accents its spelling uses.
+ALPHABETS = (
+    "äöüß", "àâæçéèêëîïôœùûüÿ", "áéíóúñü", "áâãàçéêíóôõúü", "ąćęłńóśźż", "çğıöşüâîû", "àèéìíîòóùú", "éëïóöüáíú", "åäöé", "åæøéòôóêà",
+    "áðéíóúýþæö", "áðíóúýæø", "äöåšž", "äöõüšž", "āčēģīķļņšūž", "ąčęėįšųūž", "áčďéěíňóřšťúůýž", "áäčďéíĺľňóôŕšťúýž", "áéíóöőúüű",
+    "čćđšž", "ăâîșțşţ", "çëâî", "àçèéíïòóúü", "áéíóúàèìòù", "âêîôûŵŷáéïäëö", "ċġħżàèìòù", "çəğıöşü", "êîûçş", "ĉĝĥĵŝŭ",
+    "àáâãèéêìíòóôõùúýăđĩũơưạảấầẩẫậắằẳẵặẹẻẽếềểễệỉịọỏốồổỗộớờởỡợụủứừửữựỳỵỷỹ",
+)
+_ALPHABETS = [frozenset(a) for a in ALPHABETS]
+_LISTED = frozenset().union(*_ALPHABETS)
+
+
+@lru_cache(50_000)
+def of_one_language(seen: frozenset[str]) -> bool:
+    """Whether one alphabet holds all these letters (lower case); letters that no alphabet lists are left out."""
+    listed = seen & _LISTED
+    return not listed or any(listed <= a for a in _ALPHABETS)
+
+
 class Letters:
     """The trained model: what neighbours of a letter cost."""
 
