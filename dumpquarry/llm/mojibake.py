@@ -12,8 +12,10 @@ from __future__ import annotations
 
 import heapq
 import html
+import math
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -57,7 +59,7 @@ _MASKS = [
     re.compile(r"(?<=[Ss]ign )\ufffd|(?<=[Ss]ymbol )\ufffd|(?<=[Cc]haracter )\ufffd"),
 ]
 _SEGMENT = re.compile(r"[^\n]*?(?:[.!?:;]\s+|\n|\Z)")
-_CLITIC = re.compile("([A-Za-z])([^\\x00-\\x7f’‘])(?=(?:s|t|ve|re|ll|d|m)\\b)")
+_CLITIC = re.compile("[^\\x00-\\x7f’‘](?=(?:s|t|ve|re|ll|d|m)\\b)")
 
 
 @lru_cache(100_000)
@@ -66,6 +68,8 @@ def _kind(c: str) -> str:
     category = unicodedata.category(c)
     if c in "ˆˇ":
         return "symbol"
+    if c == "ⁿ":
+        return "close"
     if c in _JOINERS or category[0] == "M" or category in ("Lm", "Cf"):
         return "mark"
     if 0x2500 <= ord(c) < 0x25A0:
@@ -86,9 +90,12 @@ def _kind(c: str) -> str:
 _AT_BOTH_ENDS = frozenset("”“’‘»«„€£¥–—…±×°·")
 
 
+_NONE: frozenset[str] = frozenset()
+
+
 @lru_cache(200_000)
-def _chunk_cost(chunk: str, vocabularies: tuple[str, ...] = VOCABULARIES) -> tuple[float, float, int]:
-    """Implausibility of one unbroken run of letters and other characters beyond ASCII: of what no proper text holds, of rare letters and neighbours, and how many letters beyond ASCII there are."""
+def _chunk_cost(chunk: str, vocabularies: tuple[str, ...] = VOCABULARIES) -> tuple[float, float, int, frozenset[str]]:
+    """Implausibility of one unbroken run of letters and other characters beyond ASCII: of what no proper text holds, and of rare letters and neighbours; the number of letters beyond ASCII, and those of Latin script."""
     model = letters(vocabularies)
     cost = sum(1.0 if c < "\xa0" else 3.0 for c in _LOST.findall(chunk))
     chunk = _LOST.sub("", chunk)
@@ -104,16 +111,17 @@ def _chunk_cost(chunk: str, vocabularies: tuple[str, ...] = VOCABULARIES) -> tup
     if a + len(chunk) - b >= 3 and not all(unicodedata.category(c) in ("Ps", "Pe", "Mn", "Cf", "So", "Sk", "Lm", "Nd", "Nl") or c in "…–—·" for c in chunk[:a] + chunk[b:]):
         cost += 0.5 * (a + len(chunk) - b - 2)
     if not inner or inner.isascii():
-        return cost, 0.0, 0
+        return cost, 0.0, 0, _NONE
     if len(inner) == 1 and _kind(inner) == "box" and chunk != inner:
-        return cost + 1, 0.0, 0
+        return cost + 1, 0.0, 0, _NONE
     if len(inner) == 1:
-        return cost + (1.5 if inner in "âÂÃ" and chunk != inner else 1.0 if inner in "ÂÃ" else 0.0), 0.0, 0
+        return cost + (1.5 if inner in "âÂÃ" and chunk != inner else 1.0 if inner in "ÂÃ" else 0.0), 0.0, 0, _NONE
     hard, soft, n = _inner_cost(inner, model)
-    return cost + hard, soft, n
+    return cost + hard, soft, n, frozenset(_BEYOND.findall(_NAME.sub(" ", inner).lower()))
 
 
 _FULL_WIDTH = frozenset(map(chr, [*range(0x3000, 0x3020), 0x30FB, *range(0xFF01, 0xFF10), *range(0xFF1A, 0xFF21), 0xFF5E]))
+_EAST = re.compile("[぀-ヿ㐀-鿿가-힣]")
 _STRAIGHT = frozenset("─│━┃═║┄┆╌")
 
 
@@ -171,9 +179,9 @@ def _inner_cost(inner: str, model: Letters) -> tuple[float, float, int]:
             else:
                 cost += {"“": 1, "”": 1, "„": 1, "‘": 0.5, "—": 0.3, "–": 0.3}.get(c, 0.0)
         elif c in _FULL_WIDTH:  # stands between words of scripts written without spaces
-            cost += 0.0 if any(x and not x.isascii() and (x in _FULL_WIDTH or script(x) in _UNSPACED) for x in (before, inner[i + 1 : i + 2])) else 1.5
+            cost += 0.0 if i in (0, last) or _EAST.search(inner) else 1.5
         elif this != "picture":
-            if before == "" and c in "†‡•→←":
+            if before == "" and (c in "†‡•→←" or (this == "close" and _EAST.search(inner))):
                 pass
             elif before == "" and inner[1:].isascii():
                 cost += 1
@@ -192,26 +200,44 @@ def _inner_cost(inner: str, model: Letters) -> tuple[float, float, int]:
     return cost, soft, n
 
 
-def cost(text: str, vocabularies: tuple[str, ...] = VOCABULARIES) -> float:
-    """Implausibility of a text's characters; near 0 for proper text, also with rare characters used properly. Cited sequences are left out."""
+def cost(text: str, vocabularies: tuple[str, ...] = VOCABULARIES, limit: float = math.inf) -> float:
+    """Implausibility of a text's characters; near 0 for proper text, also with rare characters used properly. Cited sequences are left out.
+
+    Where it is beyond ``limit``, any number beyond that may come out.
+    """
     if text.isascii():
         return 0.0
-    for mask in _MASKS:
-        text = mask.sub(" ", text)
+    text = _masked(text)
     total, rare, letters_seen = 0.0, 0.0, 0
-    for m in _CHUNK.finditer(text):
-        if not m[0].isascii():
-            hard, soft, n = _chunk_cost(m[0], vocabularies)
+    latin, begins = _NONE, False
+    for chunk in _CHUNK.findall(text):
+        if not chunk.isascii():
+            hard, soft, n, beyond = _chunk_cost(chunk, vocabularies) if len(chunk) < 100 else _chunk_cost.__wrapped__(chunk, vocabularies)
             total, rare, letters_seen = total + hard, rare + soft, letters_seen + n
+            if total > limit:
+                return total
+            latin = latin | beyond
+            begins = begins or not chunk[0].isascii()
     total += max(0.0, rare - FREE_COST - FREE_LETTER * letters_seen)
-    if not of_one_language(frozenset(_BEYOND.findall(_NAME.sub(" ", text).lower()))):
+    if latin and not of_one_language(latin):
         total += MIXED
-    if "Â\xa0" in text or "Ã\xa0" in text:
-        total += 3 * (text.count("Â\xa0") + text.count("Ã\xa0"))
-    total += 0.8 * len(_GAP.findall(text))
+    if begins and latin and (enclosed := [m.groups() for m in _ENCLOSED.finditer(text) if m[1] != m[2]]):
+        total += sum(n for n in Counter(enclosed).values() if n > 1)
+    if "\xa0" in text:
+        total += 3 * (text.count("Â\xa0") + text.count("Ã\xa0")) + 0.8 * len(_GAP.findall(text))
     return total + 1.5 * _clitics(text)
 
 
+def _masked(text: str) -> str:
+    """The text without the sequences that it only cites."""
+    text = _MASKS[0].sub(" ", text)
+    if " instead of " in text:
+        text = _MASKS[1].sub(" ", text)
+    return _MASKS[2].sub(" ", text) if "\ufffd" in text else text
+
+
+#: Words that begin and end with a letter beyond ASCII: several alike are words in quotation marks read wrongly.
+_ENCLOSED = re.compile(r"(?<!\w)([^\W\d_a-zA-Z])[a-z_]{3,}([^\W\d_a-zA-Z])(?!\w)")
 #: Letters of Latin script beyond ASCII, and names: a capital among them before plain letters.
 _BEYOND = re.compile("(?<=[^\\W\\d_])[ß-öø-ɏḀ-ỿ]|[ß-öø-ɏḀ-ỿ](?=[^\\W\\d_])")
 _NAME = re.compile("(?<![A-Za-zÀ-ÖØ-öø-ɏ])[À-ÖØ-Þ][a-z]+(?![À-ÖØ-öø-ɏ])")
@@ -239,7 +265,7 @@ _ENGLISH = re.compile(r"\b(?:the|of|is|was|with|from|why|don|before|after|see|ea
 
 def _clitics(text: str) -> int:
     """Wrong apostrophes between a word and an English ending, in a text with English function words."""
-    found = sum(m[2] in _APOSTROPHES or not m[2].isalpha() for m in _CLITIC.finditer(text))
+    found = sum((m[0] in _APOSTROPHES or not m[0].isalpha()) and text[: m.start()][-1:].isalpha() and text[m.start() - 1].isascii() for m in _CLITIC.finditer(text))
     return found if found and _ENGLISH.search(text) else 0
 
 
@@ -301,21 +327,54 @@ def _reread(cut: list[tuple[str, bytes | None]], written: str) -> str:
 _UTF8 = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
 
 
+#: UTF-8 sequences in a row, so many and of such first bytes as proper text in a two-byte encoding hardly holds.
+_UTF8_RUN = re.compile(rb"(?:[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}){2,}|(?:[\xc3-\xc5\xd0\xd1][\x80-\xbf]){3,}")
+
+
+def _byte(c: str, codec: str) -> bytes:
+    """A character's bytes in a two-byte encoding: also C1 controls and private use stand for some; for others a byte that UTF-8 lacks."""
+    try:
+        return c.encode("gb18030" if codec == "gbk" and "\ue000" <= c <= "\uf8ff" else codec)
+    except UnicodeEncodeError:
+        return bytes([ord(c)]) if "\x80" <= c <= "\x9f" else b"\xff"
+
+
+def _parts_as_utf8(run: str, codec: str) -> str:
+    """A run of characters in a two-byte encoding, with the UTF-8 in their bytes decoded. Characters beside it stay; those cut by it were lost in part."""
+    each = [_byte(c, codec) for c in run]
+    data = b"".join(each)
+    spans = [m.span() for m in _UTF8_RUN.finditer(data)]
+    out, at, k, done = [], 0, 0, 0
+    for c, b in zip(run, each):
+        end = at + len(b)
+        while k < len(spans) and spans[k][1] <= at:
+            k += 1
+        if k == len(spans) or spans[k][0] >= end:
+            out.append(c)
+        else:
+            if done <= k:
+                out.append(data[slice(*spans[k])].decode("utf_8", "replace"))
+                done = k + 1
+            if (at < spans[k][0] or end > spans[k][1]) and out[-1][-1:] != "\ufffd":
+                out.append("\ufffd")
+        at = end
+    return "".join(out)
+
+
 def _as_utf8(text: str, codec: str) -> str:
     """The runs beyond ASCII that fit ``codec``, with the UTF-8 sequences in them decoded; the rest stays."""
 
     def run(m: re.Match) -> str:
         data = _bytes(m[0], codec)
-        if data is None and codec == "gbk":  # characters of private use stand for bytes, too; the replacement character for lost ones
-            data = b"\xff".join(part.encode("gb18030") for part in m[0].split("\ufffd"))
-        if data is None:
+        if data is None and codec not in _TWO_BYTES:
             return m[0]
         try:
-            return data.decode()
+            if data is not None:
+                return data.decode()
         except UnicodeDecodeError:
             pass
         if codec in _TWO_BYTES:
-            return data.decode("utf_8", "replace") if len(data) > 5 else m[0]
+            return _parts_as_utf8(m[0], codec)
         out, at = [], 0
         for seq in _UTF8.finditer(data):
             out.append(data[at : seq.start()].decode(codec, "ignore"))
@@ -406,15 +465,17 @@ def _toll(operation: str, before: str, after: str, model: Letters) -> float:
         return 1.5 if sum(c >= "\x80" for c in after) < 4 else 0.0
     if written.endswith("utf_8") or len(before) != len(after):
         return 0.0
-    toll, changed, gained = 0.0, 0, 0.0
+    toll, marks, gained = 0.0, 0.0, 0.0
     cyrillic = 0
     for i, (x, y) in enumerate(zip(before, after)):
         if x == y:
             continue
-        changed += 1
         if x.isalpha():
             if not y.isalpha():
-                toll += 0.25 if y in _TYPOGRAPHY else 1.0
+                if y in _TYPOGRAPHY:
+                    marks = min(0.5, marks + 0.25)
+                else:
+                    toll += 1.0
                 continue
             around = [(t[i - 1].lower() if i and t[i - 1].isalpha() else "", t[i + 1].lower() if i + 1 < len(t) and t[i + 1].isalpha() else "") for t in (before, after)]
             gained += model.bits(x.lower()[:1], *around[0]) - model.bits(y.lower()[:1], *around[1])
@@ -422,16 +483,17 @@ def _toll(operation: str, before: str, after: str, model: Letters) -> float:
     toll += min(3.0, -gained / 4) if gained < 0 else -min(MOST_BONUS, gained / 200)
     if 0 < cyrillic < 5:
         toll += 1.5
-    return toll
+    return toll + marks
 
 
-def search(text: str, vocabularies: tuple[str, ...] = VOCABULARIES, work: int = WORK) -> tuple[str, float, tuple[str, ...]]:
+def search(text: str, vocabularies: tuple[str, ...] = VOCABULARIES, work: int = WORK, first: bool = False) -> tuple[str, float, tuple[str, ...]]:
     """The cheapest text reachable, its cost and the operations that lead to it; the text itself if none is clearly cheaper.
 
     States are expanded from the cheapest on, until none is left that could lead to a text clearly cheaper than the
     best one. An operation that lowers the cost too little (:data:`FALL`) leads to no further state, and a state is left
     where the best text could not fall any more by :data:`GAIN` and :data:`LEAST_FALL` after the price of the way
-    there; what states are then still open after ``work`` characters is not followed.
+    there; what states are then still open after ``work`` characters is not followed. With ``first``, the first text
+    that is clearly cheaper ends the search: it tells whether there is any.
     """
     start = cost(text, vocabularies)
     model = letters(vocabularies)
@@ -452,7 +514,7 @@ def search(text: str, vocabularies: tuple[str, ...] = VOCABULARIES, work: int =
             work -= len(after)
             if name == "lost" and len(_LOST.findall(at)) > lost:
                 continue  # only what was lost before the search began may be dropped
-            there = cost(after, vocabularies)
+            there = cost(after, vocabularies, max(FALL * here, SHARE_LEFT * start))
             utf8 = name.endswith("utf_8")
             price = _price(name) if utf8 or paid < 0.3 else 2 * _price(name)  # a second wrong encoding is rarer than the first
             sound = proof + (min(MOST_PROOF, 0.25 * (len(at) - len(after))) if utf8 else 0.0)
@@ -461,7 +523,7 @@ def search(text: str, vocabularies: tuple[str, ...] = VOCABULARIES, work: int =
                 total += _toll(name, at, after, model)
                 if total - sound < rank and start - total >= GAIN and total <= SHARE_LEFT * start:
                     best, rank = (total, after, (*path, name)), total - sound
-                    if there == 0 and utf8:
+                    if first or (there == 0 and utf8):
                         return best[1], best[0], best[2]
             if 0 < there <= FALL * here:
                 n += 1
@@ -510,7 +572,7 @@ def examine(text: str | None, restore: bool, vocabularies: tuple[str, ...] = VOC
     known: tuple[str, ...] = ()
     for part in segments(text):
         begins = part
-        if _ENTITY.search(part) and cost(html.unescape(part), vocabularies) > 0:
+        if "&" in part and _ENTITY.search(part) and cost(html.unescape(part), vocabularies) > 0:
             begins = html.unescape(part)  # what is escaped and wrong at once is judged by what it shows
         before = 0.0 if begins.isascii() else cost(begins, vocabularies)
         if before >= GAIN:
@@ -519,7 +581,7 @@ def examine(text: str | None, restore: bool, vocabularies: tuple[str, ...] = VOC
             if known and (again := apply(begins, known)) is not None and again != begins and cost(again, vocabularies) == 0:
                 after, path = again, known
             else:
-                after, _, path = search(begins, vocabularies)
+                after, _, path = search(begins, vocabularies, first=not restore)
             if path:
                 found = True
                 if not restore:

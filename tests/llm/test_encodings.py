@@ -80,3 +80,26 @@ def test_search_of_garbage_ends():
         text = "".join(rng.choice([chr(first + rng.randrange(128)), " ", "a"]) for _ in range(2000))
         mojibake.search(text)
     assert time.process_time() - begun < 30
+
+
+@pytest.mark.parametrize("text", ["（orchard_439.csv、7行目）テーブルを復元しました。", "file.sql：MySQLへの取り込みは、62分かかりました。", "²バックアップと元のデータ"])
+def test_full_width_marks_start_no_search(text):
+    assert mojibake.cost(text) == 0
+
+
+def test_spoilt_part_beside_proper_japanese():
+    proper, after = "テーブルを復元しました。", "文字コードの設定を確認してください"
+    lossy = after.encode().decode("gbk", "replace")
+    assert "�" in lossy
+    found, restored, _ = mojibake.examine(proper + lossy, True)
+    assert found and restored.startswith(proper + after[:6])
+
+
+def test_spoilt_quotation_marks_are_found():
+    text = "Since then the order command reads “categories” before “posts”."
+    assert mojibake.examine(text.translate({0x201C: "ô", 0x201D: "ö"}), True)[:2] == (True, text)
+
+
+def test_a_cost_beyond_its_limit_ends_early():
+    text = spoil("Повторный запуск занял минуты. ", "cp1251") * 50
+    assert 3 < mojibake.cost(text, limit=3) < mojibake.cost(text) / 10
