@@ -133,8 +133,8 @@ class Letters:
 
     @lru_cache(100_000)  # noqa: B019
     def strange(self, c: str) -> bool:
-        """Whether a letter never occurs in the vocabularies although others of its script do. Of ideographs and syllables those are common that a national standard holds in its first level."""
-        if c in self.known or script(c) not in self.scripts or unicodedata.normalize("NFKC", c).isascii():
+        """Whether a letter occurs in no vocabulary and no alphabet although others of its script do. Of ideographs and syllables those are common that a national standard holds in its first level."""
+        if c in self.known or c in _LISTED or script(c) not in self.scripts or unicodedata.normalize("NFKC", c).isascii():
             return False
         return not any(low <= row <= high for row, low, high in _rows(c))
 

@@ -1,4 +1,4 @@
-"""Wrong encodings: texts that were not read while the costs were set, and searches that must end."""
+"""Wrong encodings: texts in many languages, clean and spoilt, and searches that must end."""
 
 import random
 import time
@@ -7,7 +7,7 @@ import pytest
 
 from dumpquarry.llm import mojibake
 
-HELD_OUT = {
+SENTENCES = {
     "sv": "Jag åt smörgåsar på Öland förra året.",
     "sv2": "Hur många rader saknas efter återställningen? Vi behöver göra om körningen på måndag.",
     "no": "Vi må gjøre om kjøringen på mandag, fordi to tabeller ble tomme etter gjenopprettingen. Rådataene står på gårdens tjener ved sjøen.",
@@ -23,6 +23,7 @@ HELD_OUT = {
     "lt": "Kiek eilučių trūksta po atkūrimo? Kitą savaitę darbą paleisime iš naujo, nes dvi lentelės liko tuščios.",
     "lv": "Cik rindu trūkst pēc atjaunošanas? Nākamnedēļ darbu palaidīsim vēlreiz, jo divas tabulas palika tukšas.",
     "is": "Hversu margar raðir vantar eftir endurheimtina? Við keyrum verkið aftur á þriðjudag því tvær töflur urðu tómar. Þær voru mjög stórar.",
+    "is2": "Veðrið versnaði um kvöldið svo báturinn varð eftir í höfninni. Nágranni okkar selur epli.",
     "it": "Perché mancano così tante righe? La città è già più lontana; però il caffè è buono.",
     "ca": "Quantes files falten després de la restauració? Això no és normal, però l’any vinent ho farem més bé. Les col·leccions són plenes.",
     "nl": "De coördinatie van de geïmporteerde tabellen is één keer mislukt; dat is financiële onzin, reëel bezien.",
@@ -54,16 +55,16 @@ def spoil(text, wrong):
     return "".join(bytes([b]).decode(wrong, "ignore") or chr(b) for b in text.encode())
 
 
-@pytest.mark.parametrize("language", HELD_OUT)
+@pytest.mark.parametrize("language", SENTENCES)
 def test_clean_texts_of_other_languages_are_no_cases(language):
-    assert mojibake.examine(HELD_OUT[language], True) == (False, HELD_OUT[language], "")
+    assert mojibake.examine(SENTENCES[language], True) == (False, SENTENCES[language], "")
 
 
 @pytest.mark.parametrize("wrong", ["cp1252", "cp437", "cp1251", "mac_roman"])
 def test_spoilt_texts_of_other_languages(wrong):
-    got = {k: mojibake.examine(spoil(t, wrong), True) for k, t in HELD_OUT.items()}
+    got = {k: mojibake.examine(spoil(t, wrong), True) for k, t in SENTENCES.items()}
     assert [k for k, g in got.items() if not g[0]] == []
-    assert sum(g[1] == HELD_OUT[k] for k, g in got.items()) >= 0.8 * len(HELD_OUT)
+    assert sum(g[1] == SENTENCES[k] for k, g in got.items()) >= 0.8 * len(SENTENCES)
 
 
 def test_search_of_partly_spoilt_text_ends():
