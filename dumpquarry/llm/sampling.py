@@ -174,8 +174,11 @@ def fixed_size_sample(rows: DataFrame, key: str, k: int, seed: int = 42, buffer:
 
     distinct = rows.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id")).distinct().sortWithinPartitions(F.xxhash64("id", F.lit(seed)))
     shards = distinct.mapInPandas(draw, state)
-    bound = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))  # AQE only makes the partitions fewer
+    named = spark.conf.get("spark.sql.shuffle.partitions")
+    bound = max(2, int(named), int(spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", named)))
     while bound > 1:
-        shards = shards.withColumn("part", F.floor(F.col("shard") / FAN_IN)).groupBy("part").applyInPandas(merge, state)
         bound = -(-bound // FAN_IN)
+        # rows that are already spread by key keep their partitions, so more shards than expected may be left: the last merge takes them all
+        part = F.floor(F.col("shard") / FAN_IN) if bound > 1 else F.lit(0)
+        shards = shards.withColumn("part", part).groupBy("part").applyInPandas(merge, state)
     return shards.select(F.explode("held").alias(key))

@@ -96,6 +96,39 @@ def test_sample_is_uniform_over_ids_whatever_their_rows(spark):
     assert 30 <= sum(seen[i] for i in range(4)) <= 90
 
 
+def test_sample_size_holds_for_any_number_of_partitions(spark):
+    df = spark.range(0, 3000, 1, 150)
+    for rows in (df, df.repartition(150, "id")):
+        got = [r.id for r in sampling.fixed_size_sample(rows, "id", 50).collect()]
+        assert len(got) == 50 == len(set(got))
+
+
+def test_p1_sample_has_100_ids_whatever_partitions_aqe_begins_with(spark, tmp_path):
+    for table, n in (("posts", 3000), ("users", 2000)):
+        spark.range(n).write.parquet(f"{tmp_path}/{table}.parquet")
+    aqe = "spark.sql.adaptive."
+    confs = {"coalescePartitions.initialPartitionNum": "150", "coalescePartitions.parallelismFirst": "false", "coalescePartitions.minPartitionSize": "1b", "advisoryPartitionSizeInBytes": "1b"}
+    for name, value in confs.items():
+        spark.conf.set(aqe + name, value)
+    try:
+        rows = [(r.table_name, r.id) for r in queries.p1_sample(spark, str(tmp_path)).collect()]
+    finally:
+        for name in confs:
+            spark.conf.unset(aqe + name)
+    assert len(set(rows)) == len(rows) and Counter(t for t, _ in rows) == {"posts": 100, "users": 100}
+
+
+def test_sample_is_uniform_over_several_merges(spark, monkeypatch):
+    monkeypatch.setattr(sampling, "FAN_IN", 2)
+    df = spark.range(0, 40, 1, 7).where("id < 4 or id % 2 = 0")  # shards of unequal population
+    seen = Counter()
+    runs = 60
+    for seed in range(runs):
+        seen.update(r.id for r in sampling.fixed_size_sample(df, "id", 11, seed=seed).collect())
+    assert len(seen) == 22 and sum(seen.values()) == runs * 11
+    assert all(12 <= n <= 48 for n in seen.values())
+
+
 # --- encoding
 
 
